@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenary.llm import packing, reservoir, term_counts
+from lumenary import features
+from lumenary.llm import near_duplicates, packing, reservoir, term_counts
 from lumenary.operators.latest import latest_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +87,15 @@ def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Every text of documents in containers of 2,048 tokens: which part lies where."""
     docs = table(spark, folder, "documents")
     return packing.pack(packing.token_counts(docs), "doc_id", "tokens", 2048, rows=docs.count())
+
+
+def _gist_classes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    vectors = features.global_features(table(spark, folder, "gist"))
+    return near_duplicates.similar_classes(vectors, 768, 0.97, 0.86)
+
+
+@query
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of images whose gist vectors have a cosine of at least 0.97."""
+    pairs = near_duplicates.all_pairs(*_gist_classes(spark, folder))
+    return pairs.select(F.col("a").alias("image_a"), F.col("b").alias("image_b"))
