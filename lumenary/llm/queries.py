@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenary import features
-from lumenary.llm import near_duplicates, packing, reservoir, term_counts
+from lumenary.llm import near_duplicates, neighbours, packing, reservoir, term_counts
 from lumenary.operators.latest import latest_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,16 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair of images whose gist vectors have a cosine of at least 0.97."""
     pairs = near_duplicates.all_pairs(*_gist_classes(spark, folder))
     return pairs.select(F.col("a").alias("image_a"), F.col("b").alias("image_b"))
+
+
+def _neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    gist = neighbours.nearest_neighbours(table(spark, folder, "gist"), 768, False, 5, 0.80, per_cell=256)
+    galif = neighbours.nearest_neighbours(table(spark, folder, "galif"), 64, True, 5, 0.99)
+    return gist.withColumn("field", F.lit("gist")).unionByName(galif.withColumn("field", F.lit("galif")))
+
+
+@query
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair in which one vector is among the five most similar others of the other."""
+    found = _neighbours(spark, folder)
+    return found.select("field", F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b")).distinct()
