@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenary import features
-from lumenary.llm import near_duplicates, neighbours, packing, reservoir, term_counts
+from lumenary.llm import density, near_duplicates, neighbours, packing, reservoir, term_counts
 from lumenary.operators.latest import latest_rows
+from lumenary.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +113,23 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair in which one vector is among the five most similar others of the other."""
     found = _neighbours(spark, folder)
     return found.select("field", F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b")).distinct()
+
+
+def _clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return density.density_clusters([table(spark, folder, "galif"), table(spark, folder, "shog")])
+
+
+FIELD = F.element_at(F.array(F.lit("galif"), F.lit("shog")), F.col("field") + 1)
+
+
+@query
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The cluster of every clustered feature of galif and shog."""
+    return _clusters(spark, folder).select(FIELD.alias("field"), F.col("cluster").alias("cluster_key"), F.col("key").alias("feature_key"))
+
+
+@query
+def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Size and most typical features of every cluster of galif and shog features."""
+    found = density.describe(materialise(_clusters(spark, folder)))
+    return found.select(FIELD.alias("field"), F.col("cluster").alias("cluster_key"), "size", "exemplars")
