@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenary import features
@@ -119,17 +119,18 @@ def _clusters(spark: SparkSession, folder: str) -> DataFrame:
     return density.density_clusters([table(spark, folder, "galif"), table(spark, folder, "shog")])
 
 
-FIELD = F.element_at(F.array(F.lit("galif"), F.lit("shog")), F.col("field") + 1)
+def _field() -> Column:
+    return F.when(F.col("field") == 0, "galif").otherwise("shog").alias("field")
 
 
 @query
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The cluster of every clustered feature of galif and shog."""
-    return _clusters(spark, folder).select(FIELD.alias("field"), F.col("cluster").alias("cluster_key"), F.col("key").alias("feature_key"))
+    return _clusters(spark, folder).select(_field(), F.col("cluster").alias("cluster_key"), F.col("key").alias("feature_key"))
 
 
 @query
 def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Size and most typical features of every cluster of galif and shog features."""
     found = density.describe(materialise(_clusters(spark, folder)))
-    return found.select(FIELD.alias("field"), F.col("cluster").alias("cluster_key"), "size", "exemplars")
+    return found.select(_field(), F.col("cluster").alias("cluster_key"), "size", "exemplars")
