@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenary import features
-from lumenary.llm import density, near_duplicates, neighbours, packing, reservoir, term_counts
+from lumenary.llm import density, leakage, near_duplicates, neighbours, packing, reservoir, term_counts
 from lumenary.operators.latest import latest_rows
 from lumenary.session import materialise
 
@@ -134,3 +134,9 @@ def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Size and most typical features of every cluster of galif and shog features."""
     found = density.describe(materialise(_clusters(spark, folder)))
     return found.select(_field(), F.col("cluster").alias("cluster_key"), "size", "exemplars")
+
+
+@query
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item."""
+    return leakage.leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select("doc_id", "item_id")
