@@ -137,6 +137,9 @@ class Passages:
         self.first = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int64)
         self.item = np.array([n for x in lists for n, _ in x], np.int64)
         self.place = np.array([p for x in lists for _, p in x], np.int64)
+        self.sizes = np.array([len(x) for x in self.items], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate([*self.items, np.zeros(1, np.int64)])
 
     def find(self, texts: list[str | None]) -> Iterator[tuple[int, int, int]]:
         """(text number, item number, words of the longest passage)."""
@@ -154,44 +157,69 @@ class Passages:
         pick = np.repeat(self.first[s], n) + np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
         item, place, doc, at = self.item[pick], self.place[pick], doc[rep], at[rep]
         pair = doc * len(self.ids) + item
-        order = np.argsort(pair, kind="stable")
-        pair, place, at = pair[order], place[order], at[order]
-        cuts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        cuts = np.r_[cuts, len(pair)]
-        now, spaces, words = -1, None, None
-        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            if y - x < 2:  # 25 words of which 20 agree share two seeds at least
-                continue
-            d, i = divmod(int(pair[x]), len(self.ids))
-            if len(self.items[i]) < self.words:
+        held, own = np.unique(doc, return_inverse=True)
+        words = [[self.known.get(w, -1) for w in norm[d].split()] for d in held.tolist()]
+        first = np.r_[0, np.cumsum([len(w) for w in words])].astype(np.int64)
+        flat = np.fromiter((w for x in words for w in x), np.int64, int(first[-1]))
+        # the word at which a seed begins: the spaces before it in its text
+        spaces = np.cumsum(buffer == 32)
+        word = spaces[at] - spaces[starts[doc]]
+        best = self._straight(pair, place, word, own, flat, first)
+        rest = np.array([p not in best for p in pair.tolist()], bool)
+        best |= self._bent(pair[rest], place[rest], word[rest], own[rest], flat, first)
+        for p, length in sorted(best.items()):
+            yield *divmod(p, len(self.ids)), length
+
+    def _straight(self, pair: np.ndarray, place: np.ndarray, word: np.ndarray, own: np.ndarray, flat: np.ndarray, first: np.ndarray) -> dict[int, int]:
+        """Pairs with a passage in which no word is skipped: two seeds at least share its lag (25 words of which 20 agree
+        hold two stretches of four words), and all places of that lag are compared."""
+        lag = word - place
+        order = np.lexsort((lag, pair))
+        p, g = pair[order], lag[order]
+        start = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (g[1:] != g[:-1])])
+        start = start[np.diff(np.r_[start, len(p)]) >= 2]
+        p, g, o = p[start], g[start], own[order][start]
+        item = p % len(self.ids)
+        best: dict[int, int] = {}
+        for i in range(0, len(p), 4096):
+            part = slice(i, i + 4096)
+            size = self.sizes[item[part]]
+            j = np.arange(int(size.max()))
+            at = g[part][:, None] + j
+            ok = (j < size[:, None]) & (at >= 0) & (at < (first[o[part] + 1] - first[o[part]])[:, None])
+            x = self.flat[np.where(ok, self.starts[item[part]][:, None] + j, 0)]
+            y = flat[np.where(ok, first[o[part]][:, None] + at, 0)]
+            score = np.where(ok, np.where(x == y, 1, -4), -5 * len(j)).astype(np.int64)
+            sums = np.concatenate([np.zeros((len(score), 1), np.int64), np.cumsum(score, axis=1)], axis=1)
+            if sums.shape[1] <= self.words:
                 continue
-            if d != now:
-                now = d
-                spaces = np.flatnonzero(buffer[starts[d] : starts[d + 1]] == 32)
-                words = np.array([self.known.get(w, -1) for w in norm[d].split()], np.int64)
-            word = np.searchsorted(spaces, at[x:y] - starts[d])
-            best = self._passage(words, self.items[i], word, place[x:y])
-            if best:
-                yield d, i, best
-
-    def _passage(self, doc: np.ndarray, item: np.ndarray, word: np.ndarray, place: np.ndarray) -> int:
+            low = np.minimum.accumulate(sums, axis=1)[:, : -self.words]
+            for r in np.flatnonzero((low <= sums[:, self.words :]).any(axis=1)).tolist():
+                agree, inside = (x[r] == y[r]), ok[r]
+                k = int(p[part][r])
+                best[k] = max(best.get(k, 0), longest_passage(agree[inside], self.words))
+        return best
+
+    def _bent(self, pair: np.ndarray, place: np.ndarray, word: np.ndarray, own: np.ndarray, flat: np.ndarray, first: np.ndarray) -> dict[int, int]:
+        """Pairs with a passage in which words are skipped: its seeds' lags differ by little from one to the next."""
         lag = word - place
-        best = 0
-        lags, count = np.unique(lag, return_counts=True)
-        for g in lags[count >= 2].tolist():
-            lo, hi = max(0, -g), min(len(item), len(doc) - g)
-            if hi - lo >= self.words:
-                best = max(best, longest_passage(item[lo:hi] == doc[lo + g : hi + g], self.words))
-        if best or len(np.unique(place)) < 3:
-            return best
-        # no straight passage: align around each group of seeds whose lags differ by little
-        order = np.argsort(lag, kind="stable")
-        groups = np.split(order, np.flatnonzero(np.diff(lag[order]) > 8) + 1)
-        for g in groups:
-            if len(np.unique(place[g])) < 3:
+        order = np.lexsort((lag, pair))
+        p, g = pair[order], lag[order]
+        start = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (g[1:] - g[:-1] > 8)]) if len(p) else np.empty(0, np.int64)
+        best: dict[int, int] = {}
+        for x, y in zip(start, np.r_[start[1:], len(p)], strict=True):
+            if y - x < 3:
                 continue
-            lo, hi = max(0, int(word[g].min()) - len(item)), min(len(doc), int(word[g].max()) + len(item))
-            best = max(best, aligned_passage(item.tolist(), doc[lo:hi].tolist(), self.words))
+            at = order[x:y]
+            n, o = int(p[x]) % len(self.ids), int(own[at[0]])
+            item = self.items[n]
+            base, size = first[o], first[o + 1] - first[o]
+            lo, hi = max(0, int(word[at].min()) - len(item)), min(size, int(word[at].max()) + len(item))
+            doc = flat[base + lo : base + hi]
+            # without a stretch of item words that mostly occur near the seeds at all, no alignment can do
+            if longest_passage(np.isin(item, doc), self.words * 4 // 5):
+                if length := aligned_passage(item.tolist(), doc.tolist(), self.words):
+                    best[int(p[x])] = max(best.get(int(p[x]), 0), length)
         return best
 
 
