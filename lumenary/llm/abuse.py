@@ -22,26 +22,21 @@ _invisible = re.compile("[­​-‏⁠-⁤﻿]")
 _LOOKALIKES = str.maketrans("абвгеёзіїјкмнорсѕтухьαεικνορτυχԁһԛԝ", "abbreeziijkmhopcstyxbaeiknoptuxdhqw")
 #: Digits and signs used for letters.
 _LEET = str.maketrans("0134578@$!|+", "oieastbasilt")
-_spelled = re.compile(r"(?<![^\W_])[^\W\d_](?:([ ._\-*/|])[^\W\d_])(?:\1[^\W\d_])+(?![^\W_])")
+_spelled = re.compile(r"(?<![a-z\d])[a-z]([ ._\-*/|])[a-z](?:\1[a-z])+(?![a-z\d])")
 _masked = re.compile(r"[a-z\d]*[a-z](?:\*+[a-z]*)+|\*+[a-z][a-z*]*")
-_leety = re.compile(r"[a-z]+[\d@$!|+]+[a-z][a-z\d@$!|+]*|[\d@$!|+]+[a-z]+[\d@$!|+]*[a-z]*|[a-z]{2,}[\d@$]+")
+_leety = re.compile(r"(?<![a-z\d])[a-z\d@$!|+]*(?:[a-z][\d@$!|+]|[\d@$!|+][a-z])[a-z\d@$!|+]*")
 
 
-def plain(text: str | None, words: Words | None = None) -> str:
-    """Lower-case text without disguises: invisible signs, lookalike letters, accents, spelled-out, starred and leet words."""
+def plain(text: str | None) -> str:
+    """Lower-case text without invisible signs, lookalike letters, accents and spelled-out words."""
     if not text:
         return ""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", _invisible.sub("", text))
-        text = "".join(c for c in text if not unicodedata.combining(c)).lower().translate(_LOOKALIKES)
-    else:
+    if text.isascii():
         text = text.lower()
-    text = _spelled.sub(lambda m: m.group().replace(m.group(1), ""), text)
-    if words:
-        if "*" in text:
-            text = _masked.sub(lambda m: words.unmask(m.group()), text)
-        text = _leety.sub(lambda m: words.unleet(m.group()), text)
-    return text
+    else:
+        text = unicodedata.normalize("NFKD", _invisible.sub("", text))
+        text = "".join(c for c in text if c.isascii() or not unicodedata.combining(c)).lower().translate(_LOOKALIKES)
+    return _spelled.sub(lambda m: m.group().replace(m.group(1), ""), text)
 
 
 class Words:
@@ -49,18 +44,26 @@ class Words:
 
     def __init__(self, words: list[str]) -> None:
         self.all = frozenset(words)
-        self.by_length: dict[int, list[str]] = {}
+        self.at: dict[tuple[int, int, str], list[str]] = {}
         for w in words:
-            self.by_length.setdefault(len(w), []).append(w)
+            for i, c in enumerate(w):
+                self.at.setdefault((len(w), i, c), []).append(w)
         self.read: dict[str, str] = {}
 
+    def reveal(self, text: str) -> str:
+        """A plain text with its starred and leet words read."""
+        if "*" in text:
+            text = _masked.sub(lambda m: self.unmask(m.group()), text)
+        return _leety.sub(lambda m: self.unleet(m.group()), text)
+
     def unmask(self, masked: str) -> str:
         if masked not in self.read:
-            pattern = re.compile("".join("[a-z]" if c == "*" else re.escape(c) for c in masked))
-            fits = [w for w in self.by_length.get(len(masked), []) if pattern.fullmatch(w)] if len(masked.strip("*")) > 0 else []
+            first = len(masked) - len(masked.lstrip("*"))
+            pattern = re.compile(re.escape(masked).replace(r"\*", "[a-z]"))
+            fit = next((w for w in self.at.get((len(masked), first, masked[first]), ()) if pattern.fullmatch(w)), None)  # by falling frequency
             if len(self.read) > 100_000:
                 self.read.clear()
-            self.read[masked] = fits[0] if fits else masked.replace("*", "")  # words come by falling frequency
+            self.read[masked] = fit or masked.replace("*", "")
         return self.read[masked]
 
     def unleet(self, word: str) -> str:
@@ -207,7 +210,7 @@ class Model:
     def score(self, texts: list[str | None]) -> np.ndarray:
         """The highest score of a stretch of each text; -inf for a text without words."""
         out = np.full(len(texts), -np.inf)
-        doc, h = terms([plain(t, self.words) for t in texts])
+        doc, h = terms([self.words.reveal(plain(t)) for t in texts])
         if len(h):
             one, two = hashed(h)
             d, start, end = stretches(doc, len(texts))
@@ -215,6 +218,12 @@ class Model:
         return out
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Different values, ascending; by sorting, which is faster here than hashing."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def _train(doc: np.ndarray, one: np.ndarray, two: np.ndarray, y: np.ndarray, use: np.ndarray, rng: np.random.Generator, rounds: int = 4) -> FactorizationMachine:
     """Fit on documents' labels: a positive document is represented by the stretch that scores highest, a negative one by
     its highest few and some others; these are chosen anew in each round."""
@@ -227,7 +236,7 @@ def _train(doc: np.ndarray, one: np.ndarray, two: np.ndarray, y: np.ndarray, use
     counts = []
     for sign in (0, 1):
         own = use[doc] & (y[doc] == sign)
-        pairs = np.unique(np.concatenate([doc[own] * size + one[own], doc[own] * size + two[own]]))
+        pairs = distinct(np.concatenate([doc[own] * size + one[own], doc[own] * size + two[own]]))
         counts.append(np.bincount(pairs % size, minlength=size))
     p, q = max(1, int((use & (y == 1)).sum())), max(1, int((use & (y == 0)).sum()))
     odds = np.log((counts[1] + 0.1) / (p + 0.2)) - np.log((counts[0] + 0.1) / (q + 0.2))
@@ -260,7 +269,7 @@ def _train(doc: np.ndarray, one: np.ndarray, two: np.ndarray, y: np.ndarray, use
         row, place = np.r_[row[inside], row[paired]], np.r_[one[at[inside]], two[at[paired]]]
         on = known[place]
         # place 0 stands in each row, so that none is empty
-        pair = np.unique(np.r_[row[on] * size + place[on], np.arange(len(chosen)) * size])
+        pair = distinct(np.r_[row[on] * size + place[on], np.arange(len(chosen)) * size])
         z = y[d[chosen]].astype(np.float64)
         machine = FactorizationMachine(bias=-2.0)
         machine.fit(pair // size, pair % size, z, np.where(z == 1, 2.0, 1.0), 2 if r < rounds - 1 else 5, 0.15, 2e-4, rng)
@@ -277,7 +286,7 @@ def fit(texts: list[str | None], y: np.ndarray, seed: int = 9) -> Model:
         for w in set(re.findall(r"[^\W\d_]{2,}", t)):
             seen[w] = seen.get(w, 0) + 1
     words = Words([w for w, c in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if c >= 3])
-    doc, h = terms([plain(t, words) for t in texts])
+    doc, h = terms([words.reveal(t) for t in bare])
     one, two = hashed(h)
     d, start, end = stretches(doc, len(y))
     part = rng.random(len(y)) < 1 / 3

@@ -41,7 +41,7 @@ class AdditiveQuantiser:
     def fit(cls, sample: np.ndarray, cells: int, seed: int = 5, first: int = FIRST) -> AdditiveQuantiser:
         """Train on a sample of unit vectors (float32); the first two books have about `cells` combinations."""
         rng = np.random.default_rng(seed)
-        k1 = max(1, min(cells, first, len(sample) // 16 or 1))
+        k1 = max(1, min(cells, first, len(sample) // 10 or 1))
         sizes = [k1, max(1, min(round(cells / k1), 4096)), *[LATER] * EXTRA]
         rest, books = sample.astype(np.float32), []
         for k in sizes:
@@ -51,11 +51,11 @@ class AdditiveQuantiser:
                 rest[i : i + 8192] -= book[_nearest(rest[i : i + 8192], book, 1)[:, 0]]
         return cls(books)
 
-    def encode(self, x: np.ndarray, cells: int = 2, levels: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray, cells: int = 2, levels: int | None = None, margin: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
         """(codes int16 [n, levels], cells int64 [n, cells]) by beam search.
 
         After each level the `beam` best sums survive; the cells are the best different pairs of the first two words.
-        A row that has fewer different pairs than `cells` repeats its first.
+        A row repeats its first pair for each that is missing or whose squared distance is more than `margin` times the first's.
         """
         n = len(x)
         codes, rest = np.zeros((n, 1, 0), np.int16), x[:, None, :].astype(np.float32)
@@ -74,6 +74,8 @@ class AdditiveQuantiser:
             if level == 1 or len(self.books) == 1:
                 pair = codes[:, :, 0].astype(np.int64) * len(self.books[1]) + codes[:, :, -1]
                 best = pair[:, :cells]
+                away = np.take_along_axis(flat, at[:, :cells], axis=1)
+                best = np.where(away <= margin * np.maximum(away[:, :1], 0), best, pair[:, :1])
                 found = np.concatenate([best, np.repeat(pair[:, :1], cells - best.shape[1], axis=1)], axis=1)
         return codes[:, 0], found
 

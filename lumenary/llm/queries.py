@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenary import features
-from lumenary.llm import density, leakage, near_duplicates, neighbours, packing, reservoir, term_counts
+from lumenary.llm import abuse, density, leakage, near_duplicates, neighbours, packing, reservoir, term_counts
 from lumenary.operators.latest import latest_rows
 from lumenary.session import materialise
 
@@ -103,7 +103,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    gist = neighbours.nearest_neighbours(table(spark, folder, "gist"), 768, False, 5, 0.80, per_cell=256)
+    gist = neighbours.nearest_neighbours(table(spark, folder, "gist"), 768, False, 5, 0.80, per_cell=200)
     galif = neighbours.nearest_neighbours(table(spark, folder, "galif"), 64, True, 5, 0.99)
     return gist.withColumn("field", F.lit("gist")).unionByName(galif.withColumn("field", F.lit("galif")))
 
@@ -140,3 +140,19 @@ def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item."""
     return leakage.leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select("doc_id", "item_id")
+
+
+def _abuse(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.abuse_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with abusive, hateful or sexually explicit language."""
+    return _abuse(spark, folder).filter("flagged").select("doc_id")
+
+
+@query
+def p8_source_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents of each source are flagged."""
+    return abuse.rates(table(spark, folder, "documents"), _abuse(spark, folder), "doc_id", "source")
