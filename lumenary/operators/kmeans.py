@@ -69,20 +69,37 @@ def potential(samples: DataFrame, centers: DataFrame, key: str = "key") -> DataF
     return assign(samples, centers, key).agg(F.sum("d").alias("potential"))
 
 
-def repair(centers: np.ndarray, size: np.ndarray, spread: np.ndarray, farthest: dict[int, np.ndarray]) -> np.ndarray:
-    """Centers with each empty cluster moved, last first, to the farthest member of the most spread cluster not yet used up.
-
-    spread: sum of d^2 / size; after each repair the last of the remaining clusters is out, whichever was the donor.
-    """
-    centers = centers.copy()
+def _spread(assigned: DataFrame, centers: np.ndarray, moved: dict[int, int], key: str) -> dict[int, tuple[float, int, list[float]]]:
+    """cluster -> (sum of d^2, farthest member, its vector), d the squared L2 distance to the member's own center."""
+    kind = assigned.schema[key].dataType.simpleString()
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                c = np.array([moved.get(k, c) for k, c in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)], np.int32)
+                x = np.stack(b.column(1).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c), pa.array(((x - centers[c]) ** 2).sum(axis=1))], [key, "vector", "cluster", "d"])
+
+    rows = assigned.select(key, "vector", "cluster").mapInArrow(own, f"`{key}` {kind}, vector array<double>, cluster int, d double")
+    far = F.max_by(F.struct(F.col(key).alias("key"), "vector"), F.struct("d", -F.col(key)))
+    return {r.cluster: (r.spread, r.far.key, r.far.vector) for r in rows.groupBy("cluster").agg(F.sum(F.col("d") * F.col("d")).alias("spread"), far.alias("far")).collect()}
+
+
+def _repair(assigned: DataFrame, centers: np.ndarray, size: np.ndarray, key: str) -> tuple[np.ndarray, dict[int, int]]:
+    """(centers, moved samples): each empty cluster, last first, is put on the farthest member of the cluster with the
+    greatest sum of d^2 / size, which moves to it; then the last of the clusters that had members is no donor any more,
+    whichever the donor was. Where no member is away from its center, the rest stay empty."""
+    centers, moved = centers.copy(), {}
     valid = [i for i in range(len(size)) if size[i]]
     for e in reversed([i for i in range(len(size)) if not size[i]]):
-        if not valid:
+        spread = _spread(assigned, centers, moved, key)
+        donor = max((i for i in valid if i in spread), key=lambda i: (spread[i][0] / size[i], -i), default=None)
+        if donor is None or not spread[donor][0]:
             break
-        donor = max(valid, key=lambda i: (spread[i], -i))
-        centers[e] = farthest[donor]
+        centers[e] = spread[donor][2]
+        moved[spread[donor][1]] = e
         valid.pop()
-    return centers
+    return centers, moved
 
 
 def kmeans(samples: DataFrame, k: int, max_iterations: int = 20, min_changes: float = 0.01, centers: np.ndarray | None = None, seed: int = 0, key: str = "key") -> tuple[np.ndarray, DataFrame, int]:
@@ -101,33 +118,33 @@ def kmeans(samples: DataFrame, k: int, max_iterations: int = 20, min_changes: fl
     centers = np.asarray(centers, np.float64)
     kind = samples.schema[key].dataType.simpleString()
     before = samples.withColumn("cluster", F.lit(0))
-    n, rounds = samples.count(), 0
+    n, rounds, moved = samples.count(), 0, {}
     while True:
         rounds += 1
-        at = centers
+        at, changed_owner = centers, moved
 
         def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 x = np.stack(b.column("vector").to_numpy(zero_copy_only=False)) if b.num_rows else np.empty((0, at.shape[1]))
                 d = ((x[:, None, :] - at[None]) ** 2).sum(axis=2) if len(at) * x.size < 1 << 24 else (x * x).sum(1)[:, None] - 2 * x @ at.T + (at * at).sum(1)
                 c = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c.astype(np.int32)), pa.array(np.sqrt(np.maximum(d[np.arange(len(c)), c], 0))), pa.array(c != np.asarray(b.column(2)))], [key, "vector", "cluster", "d", "changed"])
+                old = np.array([changed_owner.get(k, o) for k, o in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]) if changed_owner else np.asarray(b.column(2))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c.astype(np.int32)), pa.array(c != old)], [key, "vector", "cluster", "changed"])
 
-        now = materialise(before.mapInArrow(nearest, f"`{key}` {kind}, vector array<double>, cluster int, d double, changed boolean"))
+        now = materialise(before.mapInArrow(nearest, f"`{key}` {kind}, vector array<double>, cluster int, changed boolean"))
         changes = now.filter("changed").count()
         before = now.select(key, "vector", "cluster")
         if changes <= ceil(n * min_changes):
             break
-        stats = {r.cluster: r for r in cluster_table(now, key).collect()}
+        size = np.zeros(len(centers), np.int64)
+        for r in now.groupBy("cluster").count().collect():
+            size[r["cluster"]] = r["count"]
+        centers = centers.copy()
         for r in means(now).collect():
-            centers = centers.copy()
             centers[r.cluster] = r.center
-        size = np.array([stats[i]["size"] if i in stats else 0 for i in range(len(centers))])
+        moved = {}
         if (size == 0).any():
-            spread = np.array([stats[i].variance if i in stats else 0.0 for i in range(len(centers))])
-            wanted = [s.farthest for s in stats.values()]
-            vectors = {r[key]: np.array(r.vector) for r in now.filter(F.col(key).isin(wanted)).select(key, "vector").collect()}
-            centers = repair(centers, size, spread, {i: vectors[s.farthest] for i, s in stats.items()})
+            centers, moved = _repair(now, centers, size, key)
         if max_iterations and rounds >= max_iterations:
             break
     return centers, before.select(key, "cluster"), rounds

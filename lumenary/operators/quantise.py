@@ -28,7 +28,7 @@ def _words(vocabulary: DataFrame, most: int = 100_000) -> tuple[np.ndarray, np.n
     if len(rows) > most:
         raise ValueError(f"the vocabulary has more than {most} words")
     rows = [(w, c) for w, c in rows if len(c) == len(rows[0][1]) and all(v is not None for v in c)]
-    return np.array([w for w, _ in rows], np.int32), np.array([c for _, c in rows], np.float64).reshape(len(rows), -1)
+    return np.array([w for w, _ in rows], np.int32), np.array([c for _, c in rows], np.float64).reshape(len(rows), len(rows[0][1]) if rows else 0)
 
 
 def _squared(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
