@@ -87,8 +87,16 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of every word, in order. Letters that repeat count once, so that lengthened words are read."""
+def terms(texts: list[str], part: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of every word, in order, taking about `part` characters at a time."""
+    ends = np.cumsum([len(t) for t in texts])
+    cuts = [0, *np.flatnonzero(np.diff(ends // part)) + 1, len(texts)]
+    got = [(i + d, h) for i, j in zip(cuts[:-1], cuts[1:], strict=True) for d, h in [_terms(texts[i:j])]]
+    return np.concatenate([np.empty(0, np.int64), *(d for d, _ in got)]), np.concatenate([np.empty(0, np.uint64), *(h for _, h in got)])
+
+
+def _terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """As terms. Letters that repeat count once, so that lengthened words are read."""
     b = np.frombuffer("\n".join([*texts, ""]).encode(), np.uint8)
     if not len(b):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -116,7 +124,7 @@ def hashed(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         two = (h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (h[1:] >> np.uint64(7))
         two *= np.uint64(0xD6E8FEB86659FD93)
     shift = np.uint64(64 - BITS)
-    return (h >> shift).astype(np.int64), np.r_[(two >> shift).astype(np.int64), 0][: len(h)]
+    return (h >> shift).astype(np.int32), np.r_[(two >> shift).astype(np.int32), np.int32(0)][: len(h)]
 
 
 def stretches(doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,7 +163,7 @@ class FactorizationMachine:
         square = q1[end] - q1[start] + q2[last] - q2[start]
         return self.bias + l1[end] - l1[start] + l2[last] - l2[start] + 0.5 * ((total * total).sum(axis=1) - square)
 
-    def in_parts(self, one: np.ndarray, two: np.ndarray, start: np.ndarray, end: np.ndarray, part: int = 50_000) -> np.ndarray:
+    def in_parts(self, one: np.ndarray, two: np.ndarray, start: np.ndarray, end: np.ndarray, part: int = 20_000) -> np.ndarray:
         """As scores, for many stretches in order, with bounded memory."""
         out = [np.empty(0)]
         for i in range(0, len(start), part):
