@@ -205,8 +205,10 @@ class Passages:
         lag = word - place
         order = np.lexsort((lag, pair))
         p, g = pair[order], lag[order]
-        start = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (g[1:] - g[:-1] > 8)]) if len(p) else np.empty(0, np.int64)
         best: dict[int, int] = {}
+        if not len(p):
+            return best
+        start = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (g[1:] - g[:-1] > 8)])
         for x, y in zip(start, np.r_[start[1:], len(p)], strict=True):
             if y - x < 3:
                 continue
