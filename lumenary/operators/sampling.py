@@ -62,10 +62,10 @@ def filter_empty(df: DataFrame, empty: str) -> DataFrame:
 
 
 def grid_points(spark: SparkSession, width: int, height: int, n: int = 625) -> DataFrame:
-    """(n, x, y): ceil(sqrt(n))^2 points on a grid over the image, x-major, at whole pixels."""
+    """(n, x, y): ceil(sqrt(n))^2 points on a grid inside the image, x-major, cut to whole pixels."""
     side = int(-(-(n**0.5) // 1))
     i = F.col("id")
-    x, y = F.floor(F.floor(i / side) * width / side), F.floor((i % side) * height / side)
+    x, y = F.floor((F.floor(i / side) + 1) * width / (side + 1)), F.floor((i % side + 1) * height / (side + 1))
     return spark.range(side * side).select(i.cast("int").alias("n"), x.cast("int").alias("x"), y.cast("int").alias("y"))
 
 

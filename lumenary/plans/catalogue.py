@@ -418,7 +418,7 @@ def results_with_filenames(spark: SparkSession, folder: str) -> DataFrame:
     return search.with_filenames(search.linear_search(base, base.filter("key = 1"), 25, "l2norm"), files, "key", "image_id", "/data")
 
 
-@query("SELECT CAST(i AS INTEGER) AS n, CAST(floor(floor(i / 25) * 320 / 25) AS INTEGER) AS x, CAST(floor((i % 25) * 240 / 25) AS INTEGER) AS y FROM range(625) t(i)")
+@query("SELECT CAST(i AS INTEGER) AS n, CAST(floor((floor(i / 25) + 1) * 320 / 26) AS INTEGER) AS x, CAST(floor((i % 25 + 1) * 240 / 26) AS INTEGER) AS y FROM range(625) t(i)")
 def grid_sampler(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.grid_points(spark, 320, 240, 625)
 
