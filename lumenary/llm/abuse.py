@@ -16,6 +16,8 @@ from lumenary.session import maybe_broadcast
 
 #: Bits of the term hash, factors of a term, terms in a stretch and between the starts of two, labelled documents the model is fitted on at most.
 BITS, FACTORS, SPAN, STRIDE, MOST_LABELLED = 20, 8, 16, 4, 20_000
+#: Labelled documents a term must occur in to be learned; weight decay.
+LEAST, DECAY = 4, 2e-4
 
 _invisible = re.compile("[­​-‏⁠-⁤﻿]")
 #: Cyrillic and Greek letters that look like Latin ones.
@@ -248,8 +250,8 @@ def _train(doc: np.ndarray, one: np.ndarray, two: np.ndarray, y: np.ndarray, use
         counts.append(np.bincount(pairs % size, minlength=size))
     p, q = max(1, int((use & (y == 1)).sum())), max(1, int((use & (y == 0)).sum()))
     odds = np.log((counts[1] + 0.1) / (p + 0.2)) - np.log((counts[0] + 0.1) / (q + 0.2))
-    odds[(counts[0] + counts[1]) < 2] = 0
-    known = (counts[0] + counts[1]) >= 2
+    known = counts[0] + counts[1] >= LEAST
+    odds[~known] = 0
     machine = FactorizationMachine(weights=np.maximum(odds, 0).astype(np.float32) * 0.5)
     trusted = np.ones(n, bool)
     for r in range(rounds):
@@ -280,7 +282,7 @@ def _train(doc: np.ndarray, one: np.ndarray, two: np.ndarray, y: np.ndarray, use
         pair = distinct(np.r_[row[on] * size + place[on], np.arange(len(chosen)) * size])
         z = y[d[chosen]].astype(np.float64)
         machine = FactorizationMachine(bias=-2.0)
-        machine.fit(pair // size, pair % size, z, np.where(z == 1, 2.0, 1.0), 2 if r < rounds - 1 else 5, 0.15, 2e-4, rng)
+        machine.fit(pair // size, pair % size, z, np.where(z == 1, 2.0, 1.0), 2 if r < rounds - 1 else 5, 0.15, DECAY, rng)
         machine.weights[0], machine.place[0] = 0, 0
     return machine
 
