@@ -89,3 +89,6 @@ def compute_descriptors(images: DataFrame, name: str, key: str = "image_id", **p
             yield pd.DataFrame(out, columns=[key, *fields])
 
     return images.select(key, "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(run, f"`{key}` {kind}, {generator.schema}")
+
+
+from lumenary.descriptors import shog  # noqa: E402, F401  (registers itself)
