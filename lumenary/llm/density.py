@@ -3,8 +3,10 @@
 Steps: (1) cells of similar vectors (additive-quantisation prefixes; every vector in its two best cells) give each
 vector's neighbours; within a cell the minimum spanning tree of the mutual reachability distances is built, its edges up
 to `epsilon` are contracted, and the longer ones kept; (2) the contracted pieces are joined over all cells by
-distributed Borůvka rounds; (3) the condensed hierarchy of the dense pieces is cut where the stability is greatest;
-(4) the members that persist longest (smallest core distance) are a cluster's exemplars.
+distributed Borůvka rounds; what lies in no piece of FEW members by then is searched exactly among its like, in
+blocks over all cells; (3) the condensed hierarchy of the dense pieces is cut where the stability is greatest; a vector
+left over joins the cluster whose mean is nearest, if that is within `epsilon`; (4) the members that persist longest
+(smallest core distance) are a cluster's exemplars.
 
 A piece that holds together up to `epsilon` is not split further (the selection-epsilon rule), so groups of near copies
 inside a cluster don't become clusters of their own.
@@ -22,19 +24,24 @@ from pyspark.sql import functions as F
 
 from lumenary.features import keyed
 from lumenary.llm.additive import AdditiveQuantiser
-from lumenary.llm.components import boruvka, components, relabel
+from lumenary.llm.components import _compose, boruvka, components, relabel
 from lumenary.llm.neighbours import BLOCK, CELLS, sample_vectors
 from lumenary.operators.latest import latest_rows
-from lumenary.session import materialise
+from lumenary.session import materialise, maybe_broadcast
 from lumenary.vectors import fixed_binary, from_binary, unit
 
+#: Members from which a piece is not searched again; rows of a block of the exact search, and of its tree; tasks along each side of the
+#: pairs of blocks at most.
+FEW, PAIRED, TREE, SIDE = 128, 4096, 1024, 64
 
-def local_tree(x: np.ndarray, min_samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+
+def local_tree(x: np.ndarray, min_samples: int, core: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(core distances, a, b, w): the minimum spanning tree of the mutual reachability distances 1 - cosine of unit rows (Prim)."""
     n = len(x)
     d = np.maximum(1 - x @ x.T, 0)
     k = min(min_samples - 1, n - 1)
-    core = np.partition(d, k, axis=1)[:, k] if n >= min_samples else np.full(n, 2, d.dtype)
+    if core is None:
+        core = np.partition(d, k, axis=1)[:, k] if n >= min_samples else np.full(n, 2, d.dtype)
     np.maximum(d, core, out=d)
     np.maximum(d, core[:, None], out=d)
     best, via, out = d[0].copy(), np.zeros(n, np.int64), np.ones(n, bool)
@@ -66,8 +73,20 @@ def _pieces(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def _eighth(x: np.ndarray) -> np.ndarray:
+    """Unit rows in 8 bits a component."""
+    return np.rint(x * (127 / np.abs(x).max(axis=1, keepdims=True))).astype(np.int8)
+
+
+def _float(small: np.ndarray) -> np.ndarray:
+    x = small.astype(np.float32)
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    return x
+
+
 def _cells(df: DataFrame, dim: int, field: int, min_samples: int, epsilon: float, reach: float, per_cell: int) -> DataFrame | None:
-    """(kind, x, y, w): kind 0: vector x lies in piece y with core distance w; kind 1: pieces x and y are w apart."""
+    """(kind, x, y, w, total): kind 0: vector x lies in piece y with core distance w; kind 1: pieces x and y are w apart;
+    kind 2: the vectors whose first cell this is in piece x of two or more add up to total."""
     sample, total = sample_vectors(df, dim, True)
     if not len(sample):
         return None
@@ -84,22 +103,22 @@ def _cells(df: DataFrame, dim: int, field: int, min_samples: int, epsilon: float
             for i in range(0, len(key), 8192):
                 ids, x = key[i : i + 8192], unit(m[i : i + 8192]).astype(np.float32)
                 found = aq.encode(x, CELLS)[1]
-                small = np.rint(x * (127 / np.abs(x).max(axis=1, keepdims=True))).astype(np.int8)
+                small = _eighth(x)
                 who = np.repeat(np.arange(len(ids)), CELLS)
                 turn = np.tile(np.arange(CELLS), len(ids))
                 new = (turn == 0) | (found.ravel() != found[:, 0][who])
                 who, turn, cell = who[new], turn[new], found.ravel()[new]
                 # another hash for each place in the beam, so that the blocks of a crowded cell are mixed in the next cell
                 mixed = ids[who].view(np.uint64) * np.where(turn == 0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F).astype(np.uint64) >> np.uint64(33)
-                yield pa.RecordBatch.from_arrays([pa.array(((cell << 16) | (mixed.astype(np.int64) % blocks[cell])) * 2 + field), pa.array(ids[who]), fixed_binary(small[who])], ["cell", "key", "small"])
+                yield pa.RecordBatch.from_arrays([pa.array(((cell << 16) | (mixed.astype(np.int64) % blocks[cell])) * 2 + field), pa.array(ids[who]), fixed_binary(small[who]), pa.array(turn == 0)], ["cell", "key", "small", "first"])
 
     def search(t: pa.Table) -> pa.Table:
         cell = t.column("cell")[0].as_py()
         keys = t.column("key").to_numpy()
-        x = from_binary(t.column("small"), "i1", dim).astype(np.float32)
-        x /= np.sqrt((x * x).sum(axis=1))[:, None]
+        first = t.column("first").to_numpy(zero_copy_only=False)
+        x = _float(from_binary(t.column("small"), "i1", dim))
         parts = -(-len(keys) // BLOCK)
-        kind, left, right, weight = [], [], [], []
+        kind, left, right, weight, sums = [], [], [], [], []
         part = (keys.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64) % parts
         at = 0
         for p in range(parts):
@@ -108,18 +127,141 @@ def _cells(df: DataFrame, dim: int, field: int, min_samples: int, epsilon: float
                 continue
             core, a, b, w = local_tree(x[own], min_samples)
             close = w <= epsilon
-            piece = (cell << 20) + at + _pieces(len(own), a[close], b[close])
+            local = _pieces(len(own), a[close], b[close])
+            piece = (cell << 20) + at + local
             at += len(own)
             far = ~close & (w <= reach)
-            kind += [np.zeros(len(own), np.int8), np.ones(far.sum(), np.int8)]
-            left += [keys[own], piece[a[far]]]
-            right += [piece, piece[b[far]]]
-            weight += [core, w[far]]
-        return pa.table({"kind": np.concatenate(kind), "x": np.concatenate(left), "y": np.concatenate(right), "w": np.concatenate(weight).astype(np.float64)})
+            summed = first[own] & (np.bincount(local, minlength=len(own)) > 1)[local]
+            which, place = np.unique(piece[summed], return_inverse=True)
+            total = np.zeros((len(which), dim), np.float32)
+            np.add.at(total, place, x[own[summed]])
+            kind += [np.zeros(len(own), np.int8), np.ones(far.sum(), np.int8), np.full(len(which), 2, np.int8)]
+            left += [keys[own], piece[a[far]], which]
+            right += [piece, piece[b[far]], which]
+            weight += [core, w[far], np.zeros(len(which))]
+            sums += [None] * (len(own) + far.sum()) + [v.tobytes() for v in total]
+        return pa.table({"kind": np.concatenate(kind), "x": np.concatenate(left), "y": np.concatenate(right), "w": np.concatenate(weight).astype(np.float64), "total": pa.array(sums, pa.binary())})
+
+    rows = latest_rows(df, "image_id", "computed_at", ["features"]).mapInArrow(encode, "cell long, key long, small binary, first boolean")
+    found = rows.groupBy("cell").applyInArrow(search, "kind byte, x long, y long, w double, total binary")
+    return found.select("kind", F.when(F.col("kind") == 0, F.col("x") * 2 + field).otherwise(F.col("x")).alias("x"), "y", "w", "total")
+
+
+def _rows_of(df: DataFrame, dim: int, field: int, keys: DataFrame) -> DataFrame:
+    """(key, node, core, small) of the vectors of `keys` (key, node, core)."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, m = keyed(b, dim)
+            for i in range(0, len(key), 8192):
+                yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 8192] * 2 + field), fixed_binary(_eighth(unit(m[i : i + 8192]).astype(np.float32)))], ["key", "small"])
+
+    rows = latest_rows(df, "image_id", "computed_at", ["features"]).mapInArrow(take, "key long, small binary")
+    return rows.join(keys.filter(F.col("key") % 2 == field), "key").select("key", "node", "core", "small")
+
+
+def _pairs(rows: DataFrame, per: int) -> DataFrame:
+    """(a, b, keys, small, core, keys_b, small_b, core_b): every pair of blocks a <= b of about `per` rows of one field."""
+    n = max(1, -(-rows.count() // per))
+
+    def pack(t: pa.Table) -> pa.Table:
+        parts = [t.column(c).to_numpy().tobytes() for c in ("key", "core")]
+        return pa.table({"a": t.column("a")[:1], "keys": pa.array([parts[0]], pa.binary()), "small": pa.array([b"".join(t.column("small").to_pylist())], pa.binary()), "core": pa.array([parts[1]], pa.binary())})
+
+    home = (F.col("key") % 2) * (1 << 32) + F.pmod(F.xxhash64("key", F.lit(7)), F.lit(n))
+    blocks = materialise(rows.select(home.alias("a"), "key", "core", "small").groupBy("a").applyInArrow(pack, "a long, keys binary, small binary, core binary"))
+    side = min(SIDE, -(-n // 2))
+    other = blocks.toDF("b", "keys_b", "small_b", "core_b").repartition(side)
+    # no equality, so that the blocks are not gathered by field
+    return blocks.repartition(side).hint("shuffle_replicate_nl").join(other, (F.col("a") <= F.col("b")) & (F.col("b") - F.col("a") < 1 << 31))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[bool, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
+    """(whether the two blocks are one, [(keys, unit rows, core distances) of each])."""
+    for b in batches:
+        for r in b.to_pylist():
+            yield r["a"] == r["b"], [(np.frombuffer(r["keys" + s], np.int64), _float(np.frombuffer(r["small" + s], np.int8).reshape(-1, dim)), np.frombuffer(r["core" + s], np.float64)) for s in ("", "_b")]
+
+
+def _exact(rows: DataFrame, dim: int, min_samples: int, epsilon: float, reach: float) -> tuple[DataFrame, DataFrame]:
+    """((a, b, w), (key, core)): of the rows (key, core, small), those with a core distance up to `epsilon` among all of them, and
+    edges up to `reach` that hold the minimum spanning tree of these. Every row meets every other of its field."""
+    k = min_samples - 1
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for same, ((ka, xa, _), (kb, xb, _)) in _blocks(batches, dim):
+            for i in range(0, len(ka), 1024):
+                d = 1 - xa[i : i + 1024] @ xb.T
+                r, c = np.nonzero(d <= epsilon)
+                v = np.maximum(d[r, c], 0).astype(np.float64)
+                for key, at, on in ((ka[i : i + 1024], r, ka[i + r] != kb[c]), (kb, c, np.full(len(c), not same))):
+                    own, w = at[on], v[on]
+                    order = np.lexsort((w, own))
+                    own, w = own[order], w[order]
+                    start = np.r_[True, own[1:] != own[:-1]][: len(own)]
+                    rank = np.arange(len(own)) - np.maximum.accumulate(np.where(start, np.arange(len(own)), 0))
+                    yield pa.RecordBatch.from_arrays([pa.array(key[own[rank < k]]), pa.array(w[rank < k])], ["key", "d"])
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for same, ((ka, xa, ca), (kb, xb, cb)) in _blocks(batches, dim):
+            key, x, core = (ka, xa, ca) if same else (np.concatenate(p) for p in ((ka, kb), (xa, xb), (ca, cb)))
+            if len(key) > 1:
+                _, a, b, w = local_tree(x, min_samples, core.astype(np.float32))
+                on = w <= reach
+                yield pa.RecordBatch.from_arrays([pa.array(key[a[on]]), pa.array(key[b[on]]), pa.array(w[on])], ["a", "b", "w"])
+
+    found = _pairs(rows, PAIRED).mapInArrow(near, "key long, d double").groupBy("key").agg(F.sort_array(F.collect_list("d")).alias("d"))
+    found = materialise(found.filter(F.size("d") >= k).select("key", F.col("d")[k - 1].alias("third")))
+    near_rows = rows.join(maybe_broadcast(found), "key", "left").withColumn("core", F.least("core", F.coalesce("third", F.lit(2.0)))).filter(F.col("core") <= epsilon)
+    near_rows = materialise(near_rows.select("key", "core", "small"))
+    return _pairs(near_rows, TREE).mapInArrow(trees, "a long, b long, w double"), near_rows.select("key", "core")
+
+
+def _means(found: DataFrame, joined: DataFrame, labels: DataFrame, dim: int) -> DataFrame:
+    """(name, mean BINARY): the unit mean of each cluster's vectors."""
+
+    def add(t: pa.Table) -> pa.Table:
+        m = from_binary(t.column("total"), "<f4", dim).astype(np.float64).sum(axis=0)
+        return pa.table({"name": t.column("name")[:1], "mean": pa.array([(m / np.sqrt(m @ m)).astype(np.float32).tobytes()], pa.binary())})
+
+    sums = found.filter("kind = 2").select(F.col("x").alias("p"), "total").join(joined.select(F.col("node").alias("p"), "root"), "p", "left")
+    sums = sums.select(F.coalesce("root", "p").alias("node"), "total").join(labels, "node")
+    return sums.groupBy("name").applyInArrow(add, "name long, mean binary")
+
+
+def _nearest_mean(left: DataFrame, means: DataFrame, dim: int, epsilon: float) -> DataFrame:
+    """(key, name): the cluster with the nearest mean for each row of left (key, small) that has one within epsilon, ties to the lower name."""
+
+    def pack(t: pa.Table) -> pa.Table:
+        names = t.column("name").to_numpy()
+        return pa.table({"names": pa.array([names.tobytes()], pa.binary()), "means": pa.array([b"".join(t.column("mean").to_pylist())], pa.binary()), "f": pa.array(names[:1] % 2)})
+
+    n = max(1, -(-means.count() // PAIRED))
+    packed = means.withColumns({"f": F.col("name") % 2, "g": F.pmod(F.xxhash64("name"), F.lit(n))}).groupBy("f", "g").applyInArrow(pack, "names binary, means binary, f long")
+    packed = materialise(packed)
+    # blocks of the rows too, each of which meets each block of means
+    m = max(1, -(-left.count() // PAIRED))
+
+    def gather(t: pa.Table) -> pa.Table:
+        keys = t.column("key").to_numpy()
+        return pa.table({"keys": pa.array([keys.tobytes()], pa.binary()), "small": pa.array([b"".join(t.column("small").to_pylist())], pa.binary()), "side": pa.array(keys[:1] % 2)})
+
+    rows = left.select("key", "small", (F.col("key") % 2).alias("side"), F.pmod(F.xxhash64("key", F.lit(9)), F.lit(m)).alias("g")).groupBy("side", "g").applyInArrow(gather, "keys binary, small binary, side long")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                keys, names = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["names"], np.int64)
+                x, c = _float(np.frombuffer(r["small"], np.int8).reshape(-1, dim)), np.frombuffer(r["means"], np.float32).reshape(-1, dim)
+                order = np.argsort(names)
+                d = 1 - x @ c[order].T
+                at = d.argmin(axis=1)
+                low = d[np.arange(len(d)), at]
+                on = low <= epsilon
+                yield pa.RecordBatch.from_arrays([pa.array(keys[on]), pa.array(names[order][at[on]]), pa.array(low[on].astype(np.float64))], ["key", "name", "d"])
 
-    rows = latest_rows(df, "image_id", "computed_at", ["features"]).mapInArrow(encode, "cell long, key long, small binary")
-    found = rows.groupBy("cell").applyInArrow(search, "kind byte, x long, y long, w double")
-    return found.select("kind", F.when(F.col("kind") == 0, F.col("x") * 2 + field).otherwise(F.col("x")).alias("x"), "y", "w")
+    met = rows.hint("shuffle_replicate_nl").join(packed, (F.col("side") - F.col("f")) == 0)
+    return met.mapInArrow(best, "key long, name long, d double").groupBy("key").agg(F.min(F.struct("d", "name")).alias("m")).select("key", F.col("m.name").alias("name"))
 
 
 def condense(nodes: pd.DataFrame, edges: pd.DataFrame, reach: float) -> dict[int, int]:
@@ -195,9 +337,20 @@ def density_clusters(tables: list[DataFrame], dim: int = 64, min_size: int = 5,
     members = materialise(members.withColumnRenamed("x", "key"))
     joined = components(members.filter("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b")))
     member = members.join(joined.select(F.col("node").alias("p"), "root"), "p", "left").select("key", "core", F.coalesce("root", "p").alias("node"))
+    member = materialise(member)
+    few = materialise(member.join(member.groupBy("node").count().filter(F.col("count") < FEW).select("node"), "node").select("key", "node", "core"))
+    searched = [_rows_of(df, dim, i, maybe_broadcast(few)) for i, df in enumerate(tables)]
+    searched = materialise(searched[0] if len(searched) == 1 else searched[0].unionByName(searched[1]))
+    edges, cores = _exact(searched.select("key", "core", "small"), dim, min_samples, epsilon, reach)
+    edges = materialise(relabel(edges, searched.select(F.col("key").alias("node"), F.col("node").alias("root")), "w"))
+    met = components(edges.filter(F.col("w") <= epsilon).select("a", "b"))
+    joined = materialise(_compose(joined, met))
+    member = member.join(maybe_broadcast(met.withColumnRenamed("root", "met")), "node", "left").join(maybe_broadcast(cores.withColumnRenamed("core", "found")), "key", "left")
+    member = materialise(member.select("key", F.least("core", F.coalesce("found", "core")).alias("core"), F.coalesce("met", "node").alias("node")))
     nodes = materialise(member.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(1 / F.greatest("core", F.lit(0.01))).alias("persist"), F.min("key").alias("first")))
     dense = nodes.filter(F.col("n") >= min_size)
-    far = materialise(relabel(found.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b"), "w"), joined, "w"))
+    apart = found.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b"), "w").unionByName(edges.filter(F.col("w") > epsilon))
+    far = materialise(relabel(apart, joined, "w"))
     hooked = boruvka(far, dense.select("node"))
     between = materialise(relabel(far, hooked, "w"))  # edges between dense pieces, strays contracted
     group = components(between.select("a", "b"))
@@ -211,8 +364,15 @@ def density_clusters(tables: list[DataFrame], dim: int = 64, min_size: int = 5,
     chosen = grouped.groupBy("root").cogroup(tied.groupBy("root")).applyInPandas(select, "node long, cluster long")
     chosen = materialise(chosen)
     names = chosen.join(nodes.select("node", "first"), "node").groupBy("cluster").agg(F.min("first").alias("name"))
-    labels = chosen.join(names, "cluster").select("node", "name")
-    out = member.join(labels, "node")
+    labels = materialise(chosen.join(names, "cluster").select("node", "name"))
+    own = member.join(labels, "node").select("key", "core", "name")
+    left = member.join(labels, "node", "left_anti").select("key", "core")
+    left = materialise(searched.select("key", "small").join(maybe_broadcast(left), "key"))
+    near = _nearest_mean(left.select("key", "small"), materialise(_means(found, joined, labels, dim)), dim, epsilon)
+    out = materialise(own.unionByName(left.select("key", "core").join(near, "key").select("key", "core", "name")))
+    # a vector that joined late may have the smallest key of its cluster
+    named = out.groupBy("name").agg(F.min("key").alias("least"))
+    out = out.join(named, "name").select("key", "core", F.col("least").alias("name"))
     return out.select((F.col("key") % 2).cast("int").alias("field"), F.expr("key div 2").alias("key"), F.expr("name div 2").alias("cluster"), "core")
 
 

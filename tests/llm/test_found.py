@@ -163,6 +163,19 @@ def test_clusters_strays_and_copies(spark):
     assert density.density_clusters([df.limit(0)]).count() == 0
 
 
+def test_a_small_cluster_spread_over_many_cells(spark):
+    rng = np.random.default_rng(11)
+    m = np.abs(rng.normal(size=(1500, 64))) * (rng.random((1500, 64)) < 0.3)  # strays
+    c = np.abs(rng.normal(size=64))
+    m[::250] = np.abs(c + 0.5 * rng.normal(size=(6, 64)))
+    df = spark.createDataFrame([(i, [v.tolist()], T0, "x", 0) for i, v in enumerate(m)], LOCAL)
+    own = unit(m[::250])
+    assert (own @ unit(own.mean(axis=0)) > 0.78).all()
+    found = density.density_clusters([df], per_cell=1)  # as many cells as vectors: no cell holds four of the six
+    got = {r.key // 1000: r.cluster // 1000 for r in found.collect()}
+    assert {i: got.get(i) for i in range(0, 1500, 250)} == dict.fromkeys(range(0, 1500, 250), 0)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(200, 200), (201, 202), (202, 201)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
