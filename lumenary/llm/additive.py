@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Largest first codebook; words of each later codebook; levels after the two that name the cell.
-FIRST, LATER, EXTRA = 512, 256, 2
+FIRST, LATER, EXTRA = 1024, 256, 2
 
 
 def _nearest(x: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
@@ -89,3 +89,69 @@ class AdditiveQuantiser:
             used, place = np.unique(codes[:, i], return_inverse=True)
             total += (book[used] @ queries.T)[place]
         return total
+
+
+class Cells:
+    """Cells of similar vectors, named by the first two words of their codes, and by one word more wherever a cell would
+    hold more than `most` vectors.
+
+    Which cells are crowded is estimated from the codebooks' sample (`total` vectors in all), with one more than was
+    seen, so that cells too rare for the sample are refined too where a collection is large. A vector goes to its best
+    cell at each step and to the others of the `probes` best that are at most `margin` times as far (squared). Cells
+    that all words together leave above `block` vectors are listed with their number of blocks.
+    """
+
+    def __init__(self, aq: AdditiveQuantiser, sample: np.ndarray, total: float, most: int, block: int, probes: int = 2, margin: float = np.inf) -> None:
+        self.aq, self.probes, self.margin = aq, probes, margin
+        self.crowded: list[np.ndarray | None] = []  # by level; None: all cells
+        scale = total / max(1, len(sample))
+        for level in range(2, len(aq.books) + 1):
+            ids, n = self._counted(sample)
+            at = ids & 3 == level - 2
+            if level < len(aq.books) and (scale > most or ((n[at] + 1) * scale > most).any()):
+                self.crowded.append(None if scale > most else ids[at][(n[at] + 1) * scale > most])
+            else:
+                break
+        full = np.ceil(n * scale / block).astype(np.int64)
+        self.full, self.parts = ids[full > 1], full[full > 1]
+
+    def _counted(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.place(x[i : i + 4096])[1] for i in range(0, len(x), 4096)]
+        return np.unique(np.concatenate([*found, np.empty(0, np.int64)]), return_counts=True)
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, codes): the cells of each row of x, codes by row; rows of x are unit vectors (float32)."""
+        codes, pair = self.aq.encode(x, self.probes, margin=self.margin)
+        new = np.ones(pair.shape, bool)
+        for j in range(1, pair.shape[1]):
+            new[:, j] = (pair[:, j : j + 1] != pair[:, :j]).all(axis=1)
+        who, value = np.nonzero(new)[0], pair[new]
+        second = len(self.aq.books[1])
+        rows, cells = [], []
+        rest = None
+        for level, crowded in enumerate(self.crowded):
+            tagged = value << 2 | level
+            on = np.ones(len(tagged), bool) if crowded is None else np.isin(tagged, crowded)
+            rows.append(who[~on])
+            cells.append(tagged[~on])
+            who, value = who[on], value[on]
+            rest = x[who] - self.aq.books[0][value // second] - self.aq.books[1][value % second] if rest is None else rest[on]
+            book = self.aq.books[level + 2]
+            d = (rest * rest).sum(axis=1)[:, None] + (book * book).sum(axis=1) - 2 * (rest @ book.T)
+            n = min(self.probes, len(book))
+            near = np.argpartition(d, n - 1, axis=1)[:, :n] if n < len(book) else np.tile(np.arange(n), (len(d), 1))
+            away = np.take_along_axis(d, near, axis=1)
+            keep = away <= self.margin * np.maximum(away.min(axis=1, keepdims=True, initial=np.inf), 1e-9)
+            row, place = np.nonzero(keep)
+            word = near[row, place]
+            rest, who, value = rest[row] - book[word], who[row], value[row] * len(book) + word
+        rows.append(who)
+        cells.append(value << 2 | len(self.crowded))
+        return np.concatenate(rows), np.concatenate(cells), codes
+
+    def blocks(self, cell: np.ndarray) -> np.ndarray:
+        """How many blocks each of the cells is split into."""
+        if not len(self.full):
+            return np.ones(len(cell), np.int64)
+        at = np.minimum(np.searchsorted(self.full, cell), len(self.full) - 1)
+        return np.where(self.full[at] == cell, self.parts[at], 1)

@@ -47,24 +47,47 @@ def components(edges: DataFrame) -> DataFrame:
     return _contract(edges, None)
 
 
-def _contract(edges: DataFrame, weight: str | None, fixed: DataFrame | None = None) -> DataFrame:
+def choices(edges: DataFrame, both: DataFrame, weight: str = "w") -> tuple[DataFrame, DataFrame] | None:
+    """((node, parent, w), (node, root)): the lightest edge of each node of `both` (a, b, w), ties by the ends, and the trees of these choices; None if there is
+    no choice. Of two nodes that chose the same edge the lower one is a root, and so is a node without a choice.
+
+    A tree under two nodes that chose each other is cut where a lighter edge leaves it: by then, in the order of the
+    weights, the tree is part of something else. The cut nodes are in no tree. Away from the root the weights don't fall.
+    """
+    pick = F.min(F.struct(weight, F.least("a", "b"), F.greatest("a", "b"), F.col("b").alias("other")))
+    best = materialise(both.groupBy("a").agg(pick.alias("m")).select(F.col("a").alias("node"), F.col("m.other").alias("parent"), F.col(f"m.{weight}").alias("w")))
+    if best.isEmpty():
+        return None
+    back = best.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
+    roots = _roots(best.join(back, "parent", "left").filter("up is null or up <> node or node > parent").select("node", "parent"))
+    leaving = turned(relabel(edges, roots, weight)).groupBy(F.col("a").alias("root")).agg(F.min(weight).alias("least"))
+    leaving = leaving.join(best.select(F.col("node").alias("root")), "root", "left_semi")
+    kept = roots.join(best, "node").join(leaving, "root", "left").filter("least is null or w <= least")
+    return best, materialise(kept.select("node", "root"))
+
+
+def turned(edges: DataFrame) -> DataFrame:
+    """Edges (a, b, ...) in both directions."""
+    return edges.unionByName(edges.withColumns({"a": F.col("b"), "b": F.col("a")}))
+
+
+def _contract(edges: DataFrame, weight: str | None, sizes: DataFrame | None = None, enough: int = 0) -> DataFrame:
     edges, labels = materialise(edges), None
     while not edges.isEmpty():
-        both = edges.unionByName(edges.withColumns({"a": F.col("b"), "b": F.col("a")})) if weight else edges.withColumns({"a": F.col("b"), "b": F.col("a")})
         if weight:
-            if fixed is not None:
-                both = both.join(fixed.select(F.col("node").alias("a")), "a", "left_anti")
-            pick = F.min(F.struct(weight, F.least("a", "b"), F.greatest("a", "b"), F.col("b").alias("other")))
-            best = both.groupBy("a").agg(pick.alias("m")).select(F.col("a").alias("node"), F.col("m.other").alias("parent"))
-            if best.isEmpty():
+            both = turned(edges)
+            if sizes is not None:
+                both = both.join(sizes.filter(F.col("n") >= enough).select(F.col("node").alias("a")), "a", "left_anti")
+            got = choices(edges, both, weight)
+            if got is None:
                 break
-            best = materialise(best)
-            back = best.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
-            hooks = best.join(back, "parent", "left").filter("up is null or up <> node or node > parent").select("node", "parent")
+            roots = got[1]
         else:
-            hooks = both.groupBy("a").agg(F.min("b").alias("parent")).select(F.col("a").alias("node"), "parent")
-        roots = _roots(hooks)
+            both = edges.withColumns({"a": F.col("b"), "b": F.col("a")})
+            roots = _roots(both.groupBy("a").agg(F.min("b").alias("parent")).select(F.col("a").alias("node"), "parent"))
         labels = materialise(_compose(labels, roots))
+        if sizes is not None:
+            sizes = materialise(sizes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("node")).agg(F.sum("n").alias("n")))
         smaller = materialise(relabel(edges, roots, weight))
         forget(edges)
         edges = smaller
@@ -73,12 +96,12 @@ def _contract(edges: DataFrame, weight: str | None, fixed: DataFrame | None = No
     return labels.unionByName(labels.select("root").distinct().join(labels.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), "root"))
 
 
-def boruvka(edges: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
+def boruvka(edges: DataFrame, sizes: DataFrame | None = None, enough: int = 0) -> DataFrame:
     """(node, root): Borůvka's contraction along the lightest edge (a, b, w) of every component, ties by the ends.
 
-    Components that hold a node of `fixed` choose no edge, so each final component holds one such node at most; what
-    is contracted are edges of the minimum spanning tree, so the greatest weight on the tree's path between two fixed
-    nodes stays what it was.
+    With sizes (node, n), a component of `enough` or more in all chooses no edge any more; others may still choose it.
+    What is contracted are edges of the minimum spanning tree in an order that agrees with that of the weights (see
+    `choices`): a component that has grown to `enough` holds no two parts of `enough` that single linkage would join to each other.
     """
     edges = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.min("w").alias("w"))
-    return _contract(edges, "w", fixed)
+    return _contract(edges, "w", sizes, enough)

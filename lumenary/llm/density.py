@@ -1,12 +1,13 @@
 """Clusters of similar vectors: hierarchical density clustering on a mutual-reachability neighbour graph.
 
-Steps: (1) cells of similar vectors (additive-quantisation prefixes; every vector in its two best cells) give each
-vector's neighbours; within a cell the minimum spanning tree of the mutual reachability distances is built, its edges up
-to `epsilon` are contracted, and the longer ones kept; (2) the contracted pieces are joined over all cells by
-distributed Borůvka rounds; what lies in no piece of FEW members by then is searched exactly among its like, in
-blocks over all cells; (3) the condensed hierarchy of the dense pieces is cut where the stability is greatest; a vector
-left over joins the cluster whose mean is nearest, if that is within `epsilon`; (4) the members that persist longest
-(smallest core distance) are a cluster's exemplars.
+Steps: (1) cells of similar vectors (additive-quantisation prefixes, crowded ones refined by further words; every vector
+in several) give each vector's neighbours; within a cell the minimum spanning tree of the mutual reachability distances is
+built, its edges up to `epsilon` are contracted, and the longer ones up to `reach` kept. (2) What lies in no piece of FEW
+members is searched once more in cells fitted to its like, where small groups that the first cells parted meet.
+(3) Distributed Borůvka rounds join pieces of under `min_size` members along their lightest edges, at any density, to the
+leaves of the condensed hierarchy. (4) The hierarchy of the leaves is built in Borůvka rounds and cut where the stability is
+greatest. (5) The vectors of small pieces belong to the cluster whose mean is nearest, if that is within `epsilon`. (6) The
+members that persist longest (smallest core distance) are a cluster's exemplars.
 
 A piece that holds together up to `epsilon` is not split further (the selection-epsilon rule), so groups of near copies
 inside a cluster don't become clusters of their own.
@@ -23,25 +24,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenary.features import keyed
-from lumenary.llm.additive import AdditiveQuantiser
-from lumenary.llm.components import _compose, boruvka, components, relabel
-from lumenary.llm.neighbours import BLOCK, CELLS, sample_vectors
+from lumenary.llm.additive import Cells
+from lumenary.llm.components import _compose, boruvka, choices, components, relabel, turned
+from lumenary.llm.neighbours import fit_cells, fit_rows
 from lumenary.operators.latest import latest_rows
-from lumenary.session import materialise, maybe_broadcast
+from lumenary.session import forget, materialise, maybe_broadcast
 from lumenary.vectors import fixed_binary, from_binary, unit
 
-#: Members from which a piece is not searched again; rows of a block of the exact search, and of its tree; tasks along each side of the
-#: pairs of blocks at most.
-FEW, PAIRED, TREE, SIDE = 128, 4096, 1024, 64
+#: Members from which a piece is not searched again; rows of a cell above which it is refined, and above which (where no word is left) it is dealt to
+#: blocks by a hash; rows of a tree at most; leaves' edges up to which one task builds their hierarchy; means up to which all go to every worker.
+FEW, REFINE, DEALT, TREE, ONE_TASK, MEANS = 128, 2048, 4096, 6144, 200_000, 20_000
 
 
-def local_tree(x: np.ndarray, min_samples: int, core: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def local_tree(x: np.ndarray, min_samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(core distances, a, b, w): the minimum spanning tree of the mutual reachability distances 1 - cosine of unit rows (Prim)."""
     n = len(x)
     d = np.maximum(1 - x @ x.T, 0)
     k = min(min_samples - 1, n - 1)
-    if core is None:
-        core = np.partition(d, k, axis=1)[:, k] if n >= min_samples else np.full(n, 2, d.dtype)
+    core = np.partition(d, k, axis=1)[:, k] if n >= min_samples else np.full(n, 2, d.dtype)
     np.maximum(d, core, out=d)
     np.maximum(d, core[:, None], out=d)
     best, via, out = d[0].copy(), np.zeros(n, np.int64), np.ones(n, bool)
@@ -84,43 +84,37 @@ def _float(small: np.ndarray) -> np.ndarray:
     return x
 
 
-def _cells(df: DataFrame, dim: int, field: int, min_samples: int, epsilon: float, reach: float, per_cell: int) -> DataFrame | None:
-    """(kind, x, y, w, total): kind 0: vector x lies in piece y with core distance w; kind 1: pieces x and y are w apart;
-    kind 2: the vectors whose first cell this is in piece x of two or more add up to total."""
-    sample, total = sample_vectors(df, dim, True)
-    if not len(sample):
-        return None
-    aq = AdditiveQuantiser.fit(sample, max(1, round(total / per_cell)))
-    aq.books = aq.books[:2]
-    share = np.zeros(len(aq.books[0]) * len(aq.books[1]))
-    for i in range(0, len(sample), 4096):
-        np.add.at(share, aq.encode(sample[i : i + 4096], CELLS)[1].ravel(), 1)
-    blocks = np.maximum(1, np.ceil(share / len(sample) * total / (BLOCK / 4))).astype(np.int64)
+_CELL = "cell long, key long, small binary, first boolean"
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key, m = keyed(b, dim)
-            for i in range(0, len(key), 8192):
-                ids, x = key[i : i + 8192], unit(m[i : i + 8192]).astype(np.float32)
-                found = aq.encode(x, CELLS)[1]
-                small = _eighth(x)
-                who = np.repeat(np.arange(len(ids)), CELLS)
-                turn = np.tile(np.arange(CELLS), len(ids))
-                new = (turn == 0) | (found.ravel() != found[:, 0][who])
-                who, turn, cell = who[new], turn[new], found.ravel()[new]
-                # another hash for each place in the beam, so that the blocks of a crowded cell are mixed in the next cell
-                mixed = ids[who].view(np.uint64) * np.where(turn == 0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F).astype(np.uint64) >> np.uint64(33)
-                yield pa.RecordBatch.from_arrays([pa.array(((cell << 16) | (mixed.astype(np.int64) % blocks[cell])) * 2 + field), pa.array(ids[who]), fixed_binary(small[who]), pa.array(turn == 0)], ["cell", "key", "small", "first"])
+
+def _placed(cells: Cells, ids: np.ndarray, x: np.ndarray, small: np.ndarray, field: int) -> pa.RecordBatch:
+    """Rows of _CELL: each vector in each of its cells; what no word splits is dealt to blocks by a hash that differs from cell to cell of a vector."""
+    who, cell, _ = cells.place(x)
+    order = np.argsort(who, kind="stable")
+    who, cell = who[order], cell[order]
+    first = np.r_[True, who[1:] != who[:-1]] if len(who) else np.zeros(0, bool)
+    turn = np.arange(len(who)) - np.maximum.accumulate(np.where(first, np.arange(len(who)), 0))
+    with np.errstate(over="ignore"):
+        mixed = (ids[who].view(np.uint64) ^ (turn.astype(np.uint64) << np.uint64(56))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+    part = mixed.astype(np.int64) % cells.blocks(cell)
+    return pa.RecordBatch.from_arrays([pa.array((cell << 20 | part) * 2 + field), pa.array(ids[who]), fixed_binary(small[who]), pa.array(first)], ["cell", "key", "small", "first"])
+
+
+def _trees(rows: DataFrame, dim: int, min_samples: int, epsilon: float, reach: float, sums: bool) -> DataFrame:
+    """(kind, x, y, w, total) of rows _CELL: kind 0: vector x lies in piece y with core distance w; kind 1: pieces x and y are w apart;
+    kind 2 (if `sums`): the vectors whose first cell this is in piece x of two or more add up to total."""
 
     def search(t: pa.Table) -> pa.Table:
         cell = t.column("cell")[0].as_py()
         keys = t.column("key").to_numpy()
-        first = t.column("first").to_numpy(zero_copy_only=False)
-        x = _float(from_binary(t.column("small"), "i1", dim))
-        parts = -(-len(keys) // BLOCK)
-        kind, left, right, weight, sums = [], [], [], [], []
-        part = (keys.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64) % parts
-        at = 0
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = t.column("first").to_numpy(zero_copy_only=False)[order]
+        x = _float(from_binary(t.column("small"), "i1", dim)[order])
+        parts = -(-len(keys) // TREE)
+        with np.errstate(over="ignore"):
+            part = (keys.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64) % parts
+        kind, left, right, weight, total = [], [], [], [], []
         for p in range(parts):
             own = np.flatnonzero(part == p)
             if not len(own):
@@ -128,23 +122,72 @@ def _cells(df: DataFrame, dim: int, field: int, min_samples: int, epsilon: float
             core, a, b, w = local_tree(x[own], min_samples)
             close = w <= epsilon
             local = _pieces(len(own), a[close], b[close])
-            piece = (cell << 20) + at + local
-            at += len(own)
+            # a piece is named by one of its vectors in this cell
+            piece = _name(keys[own][local], cell)
             far = ~close & (w <= reach)
-            summed = first[own] & (np.bincount(local, minlength=len(own)) > 1)[local]
+            summed = sums & first[own] & (np.bincount(local, minlength=len(own)) > 1)[local]
             which, place = np.unique(piece[summed], return_inverse=True)
-            total = np.zeros((len(which), dim), np.float32)
-            np.add.at(total, place, x[own[summed]])
+            added = np.zeros((len(which), dim), np.float32)
+            np.add.at(added, place, x[own[summed]])
             kind += [np.zeros(len(own), np.int8), np.ones(far.sum(), np.int8), np.full(len(which), 2, np.int8)]
             left += [keys[own], piece[a[far]], which]
             right += [piece, piece[b[far]], which]
             weight += [core, w[far], np.zeros(len(which))]
-            sums += [None] * (len(own) + far.sum()) + [v.tobytes() for v in total]
-        return pa.table({"kind": np.concatenate(kind), "x": np.concatenate(left), "y": np.concatenate(right), "w": np.concatenate(weight).astype(np.float64), "total": pa.array(sums, pa.binary())})
+            total += [None] * (len(own) + far.sum()) + [v.tobytes() for v in added]
+        return pa.table({"kind": np.concatenate(kind), "x": np.concatenate(left), "y": np.concatenate(right), "w": np.concatenate(weight).astype(np.float64), "total": pa.array(total, pa.binary())})
+
+    return rows.groupBy("cell").applyInArrow(search, "kind byte, x long, y long, w double, total binary")
+
+
+def _name(keys: np.ndarray, cell: int) -> np.ndarray:
+    """A 63-bit name of the piece that key heads in the cell; its last bit is the key's, the field."""
+    with np.errstate(over="ignore"):
+        h = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(cell * 0xC2B2AE3D27D4EB4F % 2**64)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(29))) >> np.uint64(1)).astype(np.int64) & ~1 | keys & 1
+
+
+def _first_search(df: DataFrame, dim: int, field: int, min_samples: int, epsilon: float, reach: float, per_cell: int) -> DataFrame | None:
+    """_trees of the usable vectors of df; keys are key * 2 + field."""
+    cells = fit_cells(df, dim, True, per_cell, most=REFINE, block=DEALT)
+    if cells is None:
+        return None
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, m = keyed(b, dim)
+            for i in range(0, len(key), 8192):
+                x = unit(m[i : i + 8192]).astype(np.float32)
+                yield _placed(cells, key[i : i + 8192] * 2 + field, x, _eighth(x), field)
 
-    rows = latest_rows(df, "image_id", "computed_at", ["features"]).mapInArrow(encode, "cell long, key long, small binary, first boolean")
-    found = rows.groupBy("cell").applyInArrow(search, "kind byte, x long, y long, w double, total binary")
-    return found.select("kind", F.when(F.col("kind") == 0, F.col("x") * 2 + field).otherwise(F.col("x")).alias("x"), "y", "w", "total")
+    cells.aq.books = cells.aq.books[: 2 + len(cells.crowded)]
+    rows = latest_rows(df, "image_id", "computed_at", ["features"]).mapInArrow(encode, _CELL)
+    return _trees(rows, dim, min_samples, epsilon, reach, True)
+
+
+def _second_search(rows: DataFrame, dim: int, field: int, min_samples: int, epsilon: float, reach: float, per_cell: int) -> DataFrame | None:
+    """_trees of rows (key, small) of one field, in cells fitted to them."""
+    n = rows.count()
+    parts = max(1, n // 120_000)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([fixed_binary(from_binary(b.column("small"), "i1", dim).astype(np.float32))], ["raw"])
+
+    chosen = rows.filter(F.pmod(F.xxhash64("key", F.lit(11)), F.lit(parts)) == 0).select("small").mapInArrow(take, "raw binary")
+    cells = fit_rows(chosen, dim, parts, per_cell, most=REFINE, block=DEALT, probes=3, margin=1.3)
+    if cells is None:
+        return None
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 8192):
+                part = b.slice(i, 8192)
+                small = from_binary(part.column("small"), "i1", dim)
+                yield _placed(cells, np.asarray(part.column("key")), _float(small), small, field)
+
+    cells.aq.books = cells.aq.books[: 2 + len(cells.crowded)]
+    return _trees(rows.select("key", "small").mapInArrow(encode, _CELL), dim, min_samples, epsilon, reach, False)
 
 
 def _rows_of(df: DataFrame, dim: int, field: int, keys: DataFrame) -> DataFrame:
@@ -160,122 +203,128 @@ def _rows_of(df: DataFrame, dim: int, field: int, keys: DataFrame) -> DataFrame:
     return rows.join(keys.filter(F.col("key") % 2 == field), "key").select("key", "node", "core", "small")
 
 
-def _pairs(rows: DataFrame, per: int) -> DataFrame:
-    """(a, b, keys, small, core, keys_b, small_b, core_b): every pair of blocks a <= b of about `per` rows of one field."""
-    n = max(1, -(-rows.count() // per))
-
-    def pack(t: pa.Table) -> pa.Table:
-        parts = [t.column(c).to_numpy().tobytes() for c in ("key", "core")]
-        return pa.table({"a": t.column("a")[:1], "keys": pa.array([parts[0]], pa.binary()), "small": pa.array([b"".join(t.column("small").to_pylist())], pa.binary()), "core": pa.array([parts[1]], pa.binary())})
-
-    home = (F.col("key") % 2) * (1 << 32) + F.pmod(F.xxhash64("key", F.lit(7)), F.lit(n))
-    blocks = materialise(rows.select(home.alias("a"), "key", "core", "small").groupBy("a").applyInArrow(pack, "a long, keys binary, small binary, core binary"))
-    side = min(SIDE, -(-n // 2))
-    other = blocks.toDF("b", "keys_b", "small_b", "core_b").repartition(side)
-    # no equality, so that the blocks are not gathered by field
-    return blocks.repartition(side).hint("shuffle_replicate_nl").join(other, (F.col("a") <= F.col("b")) & (F.col("b") - F.col("a") < 1 << 31))
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[bool, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
-    """(whether the two blocks are one, [(keys, unit rows, core distances) of each])."""
-    for b in batches:
-        for r in b.to_pylist():
-            yield r["a"] == r["b"], [(np.frombuffer(r["keys" + s], np.int64), _float(np.frombuffer(r["small" + s], np.int8).reshape(-1, dim)), np.frombuffer(r["core" + s], np.float64)) for s in ("", "_b")]
-
-
-def _exact(rows: DataFrame, dim: int, min_samples: int, epsilon: float, reach: float) -> tuple[DataFrame, DataFrame]:
-    """((a, b, w), (key, core)): of the rows (key, core, small), those with a core distance up to `epsilon` among all of them, and
-    edges up to `reach` that hold the minimum spanning tree of these. Every row meets every other of its field."""
-    k = min_samples - 1
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for same, ((ka, xa, _), (kb, xb, _)) in _blocks(batches, dim):
-            for i in range(0, len(ka), 1024):
-                d = 1 - xa[i : i + 1024] @ xb.T
-                r, c = np.nonzero(d <= epsilon)
-                v = np.maximum(d[r, c], 0).astype(np.float64)
-                for key, at, on in ((ka[i : i + 1024], r, ka[i + r] != kb[c]), (kb, c, np.full(len(c), not same))):
-                    own, w = at[on], v[on]
-                    order = np.lexsort((w, own))
-                    own, w = own[order], w[order]
-                    start = np.r_[True, own[1:] != own[:-1]][: len(own)]
-                    rank = np.arange(len(own)) - np.maximum.accumulate(np.where(start, np.arange(len(own)), 0))
-                    yield pa.RecordBatch.from_arrays([pa.array(key[own[rank < k]]), pa.array(w[rank < k])], ["key", "d"])
-
-    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for same, ((ka, xa, ca), (kb, xb, cb)) in _blocks(batches, dim):
-            key, x, core = (ka, xa, ca) if same else (np.concatenate(p) for p in ((ka, kb), (xa, xb), (ca, cb)))
-            if len(key) > 1:
-                _, a, b, w = local_tree(x, min_samples, core.astype(np.float32))
-                on = w <= reach
-                yield pa.RecordBatch.from_arrays([pa.array(key[a[on]]), pa.array(key[b[on]]), pa.array(w[on])], ["a", "b", "w"])
-
-    found = _pairs(rows, PAIRED).mapInArrow(near, "key long, d double").groupBy("key").agg(F.sort_array(F.collect_list("d")).alias("d"))
-    found = materialise(found.filter(F.size("d") >= k).select("key", F.col("d")[k - 1].alias("third")))
-    near_rows = rows.join(maybe_broadcast(found), "key", "left").withColumn("core", F.least("core", F.coalesce("third", F.lit(2.0)))).filter(F.col("core") <= epsilon)
-    near_rows = materialise(near_rows.select("key", "core", "small"))
-    return _pairs(near_rows, TREE).mapInArrow(trees, "a long, b long, w double"), near_rows.select("key", "core")
-
-
-def _means(found: DataFrame, joined: DataFrame, labels: DataFrame, dim: int) -> DataFrame:
-    """(name, mean BINARY): the unit mean of each cluster's vectors."""
+def _means(parts: DataFrame, dim: int) -> DataFrame:
+    """(name, mean BINARY): the unit mean of the sums (name, total) of each name."""
 
     def add(t: pa.Table) -> pa.Table:
         m = from_binary(t.column("total"), "<f4", dim).astype(np.float64).sum(axis=0)
         return pa.table({"name": t.column("name")[:1], "mean": pa.array([(m / np.sqrt(m @ m)).astype(np.float32).tobytes()], pa.binary())})
 
-    sums = found.filter("kind = 2").select(F.col("x").alias("p"), "total").join(joined.select(F.col("node").alias("p"), "root"), "p", "left")
-    sums = sums.select(F.coalesce("root", "p").alias("node"), "total").join(labels, "node")
-    return sums.groupBy("name").applyInArrow(add, "name long, mean binary")
+    return parts.groupBy("name").applyInArrow(add, "name long, mean binary")
 
 
-def _nearest_mean(left: DataFrame, means: DataFrame, dim: int, epsilon: float) -> DataFrame:
-    """(key, name): the cluster with the nearest mean for each row of left (key, small) that has one within epsilon, ties to the lower name."""
+def _bytes_of(means: DataFrame, dim: int) -> DataFrame:
+    """(key, small) of means (name, mean)."""
 
-    def pack(t: pa.Table) -> pa.Table:
-        names = t.column("name").to_numpy()
-        return pa.table({"names": pa.array([names.tobytes()], pa.binary()), "means": pa.array([b"".join(t.column("mean").to_pylist())], pa.binary()), "f": pa.array(names[:1] % 2)})
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("name"), fixed_binary(_eighth(from_binary(b.column("mean"), "<f4", dim)))], ["key", "small"])
 
-    n = max(1, -(-means.count() // PAIRED))
-    packed = means.withColumns({"f": F.col("name") % 2, "g": F.pmod(F.xxhash64("name"), F.lit(n))}).groupBy("f", "g").applyInArrow(pack, "names binary, means binary, f long")
-    packed = materialise(packed)
-    # blocks of the rows too, each of which meets each block of means
-    m = max(1, -(-left.count() // PAIRED))
+    return means.select("name", "mean").mapInArrow(small, "key long, small binary")
 
-    def gather(t: pa.Table) -> pa.Table:
-        keys = t.column("key").to_numpy()
-        return pa.table({"keys": pa.array([keys.tobytes()], pa.binary()), "small": pa.array([b"".join(t.column("small").to_pylist())], pa.binary()), "side": pa.array(keys[:1] % 2)})
 
-    rows = left.select("key", "small", (F.col("key") % 2).alias("side"), F.pmod(F.xxhash64("key", F.lit(9)), F.lit(m)).alias("g")).groupBy("side", "g").applyInArrow(gather, "keys binary, small binary, side long")
+def _sums(rows: DataFrame, dim: int) -> DataFrame:
+    """(name, total) of the vectors of rows (name, small), one row a batch and name."""
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                keys, names = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["names"], np.int64)
-                x, c = _float(np.frombuffer(r["small"], np.int8).reshape(-1, dim)), np.frombuffer(r["means"], np.float32).reshape(-1, dim)
-                order = np.argsort(names)
-                d = 1 - x @ c[order].T
+            if b.num_rows:
+                names, place = np.unique(np.asarray(b.column("name")), return_inverse=True)
+                total = np.zeros((len(names), dim), np.float32)
+                np.add.at(total, place, _float(from_binary(b.column("small"), "i1", dim)))
+                yield pa.RecordBatch.from_arrays([pa.array(names), fixed_binary(total)], ["name", "total"])
+
+    return rows.select("name", "small").mapInArrow(add, "name long, total binary")
+
+
+def _nearest_mean(left: DataFrame, means: DataFrame, dim: int, epsilon: float) -> DataFrame:
+    """(key, name): the cluster with the nearest mean for each row of left (key, small) that has one within epsilon, ties to the lower name.
+
+    Few means (MEANS, a checked bound) go to every worker; more are dealt to blocks, each of which meets each block of rows.
+    """
+
+    def best(keys: np.ndarray, x: np.ndarray, names: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        own = [(keys % 2 == f, names % 2 == f) for f in (0, 1)]
+        out = []
+        for k, n in own:
+            if k.any() and n.any():
+                order = np.argsort(names[n])
+                d = 1 - x[k] @ c[n][order].T
                 at = d.argmin(axis=1)
                 low = d[np.arange(len(d)), at]
                 on = low <= epsilon
-                yield pa.RecordBatch.from_arrays([pa.array(keys[on]), pa.array(names[order][at[on]]), pa.array(low[on].astype(np.float64))], ["key", "name", "d"])
+                out.append((keys[k][on], names[n][order][at[on]], low[on].astype(np.float64)))
+        empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in zip(empty, *out, strict=True)], ["key", "name", "d"])
+
+    schema = "key long, name long, d double"
+    n = means.count()
+    if n <= MEANS:
+        rows = sorted((r["name"], bytes(r["mean"])) for r in means.collect())
+        names, c = np.array([r[0] for r in rows], np.int64), np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(-1, dim)
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(0, b.num_rows, 2048):
+                    part = b.slice(i, 2048)
+                    yield best(np.asarray(part.column("key")), _float(from_binary(part.column("small"), "i1", dim)), names, c)
+
+        return left.select("key", "small").mapInArrow(near, schema).select("key", "name")
+
+    def pack(t: pa.Table) -> pa.Table:
+        return pa.table({"names": pa.array([t.column("name").to_numpy().tobytes()], pa.binary()), "means": pa.array([b"".join(t.column("mean").to_pylist())], pa.binary())})
+
+    packed = materialise(means.withColumn("g", F.pmod(F.xxhash64("name"), F.lit(-(-n // 4096)))).groupBy("g").applyInArrow(pack, "names binary, means binary"))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
+                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(part.column("key")).tobytes()], pa.binary()), pa.array([from_binary(part.column("small"), "i1", dim).tobytes()], pa.binary())], ["keys", "small"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                yield best(np.frombuffer(r["keys"], np.int64), _float(np.frombuffer(r["small"], np.int8).reshape(-1, dim)), np.frombuffer(r["names"], np.int64), np.frombuffer(r["means"], np.float32).reshape(-1, dim))
+
+    met = left.select("key", "small").mapInArrow(gather, "keys binary, small binary").hint("shuffle_replicate_nl").join(packed, F.col("keys").isNotNull() & F.col("names").isNotNull())
+    return met.mapInArrow(meet, schema).groupBy("key").agg(F.min(F.struct("d", "name")).alias("m")).select("key", F.col("m.name").alias("name"))
 
-    met = rows.hint("shuffle_replicate_nl").join(packed, (F.col("side") - F.col("f")) == 0)
-    return met.mapInArrow(best, "key long, name long, d double").groupBy("key").agg(F.min(F.struct("d", "name")).alias("m")).select("key", F.col("m.name").alias("name"))
 
+class _Part:
+    """A part of the hierarchy: n members, `level` (own stability at birth distance h is level - n / h), the best stability of its parts, its least
+    core distance, and whether it is a leaf."""
 
-def condense(nodes: pd.DataFrame, edges: pd.DataFrame, reach: float) -> dict[int, int]:
-    """Node -> selected cluster (named by one of its nodes) of one connected piece of the hierarchy.
+    def __init__(self, n: float, level: float, parts: float, core: float, leaf: bool) -> None:
+        self.n, self.level, self.parts, self.core, self.leaf = n, level, parts, core, leaf
 
-    nodes: node, n, persist (the sum of 1 / core distance of its n members); edges: a, b, w. Kruskal's order gives the
-    hierarchy; a cluster's stability is the sum over its members of (lambda at which they leave - lambda at its birth),
-    lambda = 1 / distance. From the leaves up, a cluster is kept if it is more stable than its best parts together. The
-    root of several nodes is not a cluster.
+    def close(self, h: float, contrast: float) -> tuple[bool, float]:
+        """(whether it is kept, best stability) if it is born at distance h."""
+        own = self.level - self.n / h
+        kept = h >= contrast * self.core and (self.leaf or own > self.parts)
+        return kept, own if kept else self.parts
+
+
+_LEAST = 1e-6
+
+
+def join_parts(a: _Part, b: _Part, h: float, contrast: float) -> tuple[_Part, bool, bool]:
+    """(the part that a and b form at distance h, whether a is kept, whether b is)."""
+    (ka, ba), (kb, bb) = a.close(h, contrast), b.close(h, contrast)
+    n = a.n + b.n
+    return _Part(n, n / h, ba + bb, min(a.core, b.core), False), ka, kb
+
+
+def condense(leaves: pd.DataFrame, edges: pd.DataFrame, reach: float, contrast: float) -> dict[int, int]:
+    """Leaf -> selected cluster (named by one of its leaves), by Kruskal's order in one task.
+
+    leaves: node, n, persist (the sum of 1 / core distance of its n members), core (the least); edges: a, b, w. A cluster's stability is the sum
+    over its members of (lambda at which they leave - lambda at its birth), lambda = 1 / distance. From the leaves up, a cluster is kept
+    if it is more stable than its best parts together and its birth distance is at least `contrast` times its least core
+    distance (less is a ripple of the background). What is never joined is born at `reach`.
     """
-    index = {v: i for i, v in enumerate(nodes["node"].tolist())}
-    size, total = nodes["n"].astype(float).tolist(), nodes["persist"].astype(float).tolist()
-    top, children, split = list(range(len(size))), {}, {}
-    parent = list(range(len(size)))
+    part = {v: _Part(float(n), float(p), 0.0, float(c), True) for v, n, p, c in zip(leaves["node"].tolist(), leaves["n"], leaves["persist"], leaves["core"], strict=True)}
+    top, parent, children, kept = {v: v for v in part}, {v: v for v in part}, {}, {}
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -283,97 +332,186 @@ def condense(nodes: pd.DataFrame, edges: pd.DataFrame, reach: float) -> dict[int
             i = parent[i]
         return i
 
-    for a, b, w in sorted(zip(edges["a"].tolist(), edges["b"].tolist(), edges["w"].tolist(), strict=True), key=lambda e: (e[2], e[0], e[1])):
-        x, y = find(index[a]), find(index[b])
+    for w, a, b in sorted(zip(edges["w"].tolist(), edges["a"].tolist(), edges["b"].tolist(), strict=True)):
+        x, y = find(a), find(b)
         if x == y:
             continue
-        new = len(size)
-        size.append(size[top[x]] + size[top[y]])
-        total.append(0.0)
-        children[new], split[new] = (top[x], top[y]), 1 / max(w, 1e-6)
+        new = ("inner", len(children))
+        part[new], kept[top[x]], kept[top[y]] = join_parts(part[top[x]], part[top[y]], max(w, _LEAST), contrast)
+        children[new] = (top[x], top[y])
         parent[y] = x
         top[x] = new
-    birth = [1 / reach] * len(size)
-    for c, (l, r) in children.items():
-        birth[l] = birth[r] = split[c]
-    roots = {top[find(i)] for i in range(len(nodes))}
-    best, kept = {}, {}
-    for c in range(len(size)):  # children have smaller numbers
-        if c not in children:
-            best[c], kept[c] = total[c] - size[c] * birth[c], True
-            continue
-        own, parts = size[c] * (split[c] - birth[c]), sum(best[x] for x in children[c])
-        kept[c] = own > parts and c not in roots
-        best[c] = max(own, parts) if kept[c] else parts
-    names, out, stack = nodes["node"].tolist(), {}, [(r, None) for r in roots]
+    for v in list(parent):
+        c = top[find(v)]
+        kept[c] = part[c].close(reach, contrast)[0]
+    out, stack = {}, [(c, None) for c in {top[find(v)] for v in parent}]
     while stack:
         c, cluster = stack.pop()
         if cluster is None and kept[c]:
-            first = c
-            while first in children:
-                first = children[first][0]
-            cluster = names[first]
+            cluster = c
+            while cluster in children:
+                cluster = children[cluster][0]
         if c in children:
             stack += [(x, cluster) for x in children[c]]
-        else:
-            out[names[c]] = cluster
+        elif cluster is not None:
+            out[c] = cluster
     return out
 
 
-def density_clusters(tables: list[DataFrame], dim: int = 64, min_size: int = 5, min_samples: int = 4, epsilon: float = 0.22, reach: float = 0.5, per_cell: int = 128) -> DataFrame:
+def hierarchy(leaves: DataFrame, edges: DataFrame, reach: float, contrast: float, one_task: int = ONE_TASK) -> DataFrame:
+    """(node, cluster): as condense. Up to `one_task` edges (a checked bound) go to one task; more are contracted in Borůvka rounds.
+
+    In a round every component chooses its lightest edge. Away from the root of a tree of `choices` the weights don't fall, so each component
+    joins what its tree has become as a whole: the round's part of the hierarchy is a chain in the order of the weights. It
+    is walked as a sorted stream that holds one part at a time, so neither a hub nor a chain is collected.
+    """
+    leaves, edges = materialise(leaves.select("node", "n", "persist", "core")), materialise(edges.select("a", "b", "w"))
+    if edges.count() <= one_task:
+
+        def all_at_once(own: pd.DataFrame, tied: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(list(condense(own, tied, reach, contrast).items()), columns=["node", "cluster"]).astype("int64")
+
+        ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        tied = leaves.join(maybe_broadcast(ends, 2 * one_task), "node", "left_semi").withColumn("g", F.lit(0))
+        alone = leaves.join(maybe_broadcast(ends, 2 * one_task), "node", "left_anti")
+        alone = alone.filter(F.lit(reach) >= contrast * F.col("core")).select("node", F.col("node").alias("cluster"))
+        return tied.groupBy("g").cogroup(edges.withColumn("g", F.lit(0)).groupBy("g")).applyInPandas(all_at_once, "node long, cluster long").unionByName(alone)
+
+    state = leaves.select("node", F.col("n").cast("double").alias("n"), F.col("persist").alias("level"), F.lit(0.0).alias("parts"), "core", F.lit(True).alias("leaf"), F.col("node").alias("rep"))
+    held = leaves.select("node", F.col("node").alias("comp"), F.lit(None).cast("long").alias("cluster"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows root, place (0 the root itself), node, w and state in order -> root, place, node, whether node is kept, whether the chain before it is, and
+        the chain's state with it."""
+        root, now = None, None
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                part = _Part(r["n"], r["level"], r["parts"], r["core"], r["leaf"])
+                before = own = False
+                if r["root"] != root:
+                    root, now = r["root"], part
+                else:
+                    now, before, own = join_parts(now, part, max(r["w"], _LEAST), contrast)
+                out.append((root, r["place"], r["node"], own, before, now.n, now.level, now.parts, now.core, now.leaf))
+            yield pa.RecordBatch.from_pylist([dict(zip(_WALKED.names, x, strict=True)) for x in out], schema=_WALKED)
+
+    while not edges.isEmpty():
+        best, roots = choices(edges, turned(edges))
+        tree = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(best, "node")
+        tree = tree.select("node", "root", "w", F.least("node", "parent").alias("lo"), F.greatest("node", "parent").alias("hi"))
+        chain = tree.join(state.drop("rep"), "node").withColumn("place", (F.col("node") != F.col("root")).cast("int"))
+        walked = chain.repartition("root").sortWithinPartitions("root", "place", "w", "lo", "hi").select("root", "place", "node", "w", "n", "level", "parts", "core", "leaf")
+        # the order within the chain, numbered as it is walked
+        walked = materialise(walked.mapInArrow(_numbered(walk), ", ".join(f"{f.name} {_SPARK[str(f.type)]}" for f in _WALKED)))
+        last = walked.groupBy("root").agg(F.max(F.when(F.col("chain_kept"), F.col("place") - 1)).alias("j"), F.max_by(F.struct("n", "level", "parts", "core", "leaf"), "place").alias("s"), F.max(F.when(F.col("place") == 1, F.col("chain_kept"))).alias("first_kept"))
+        last = materialise(last.join(state.select(F.col("node").alias("root"), F.col("rep").alias("root_rep")), "root"))
+        named = walked.join(last.select("root", "j", "first_kept", "root_rep"), "root").join(state.select("node", "rep"), "node")
+        kept = F.when((F.col("j") >= 1) & (F.col("place") <= F.col("j")), F.col("root_rep")).when(F.when(F.col("place") == 0, F.col("first_kept")).otherwise(F.col("node_kept")), F.col("rep"))
+        named = named.select(F.col("node").alias("comp"), "root", kept.alias("found"))
+        held = materialise(held.join(named, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"), F.coalesce("found", "cluster").alias("cluster")))
+        others = state.join(walked.select("node"), "node", "left_anti")
+        state = materialise(others.unionByName(last.select(F.col("root").alias("node"), "s.n", "s.level", "s.parts", "s.core", "s.leaf", F.col("root_rep").alias("rep"))))
+        smaller = materialise(relabel(edges, roots, "w"))
+        forget(edges)
+        edges = smaller
+    # what no edge joins any more is born at `reach`
+    top = state.filter((F.lit(reach) >= contrast * F.col("core")) & (F.col("leaf") | (F.col("level") - F.col("n") / reach > F.col("parts")))).select(F.col("node").alias("comp"), "rep")
+    return held.join(top, "comp", "left").select("node", F.coalesce("rep", "cluster").alias("cluster")).filter("cluster is not null")
+
+
+_WALKED = pa.schema([("root", pa.int64()), ("place", pa.int32()), ("node", pa.int64()), ("node_kept", pa.bool_()), ("chain_kept", pa.bool_()), ("n", pa.float64()), ("level", pa.float64()), ("parts", pa.float64()), ("core", pa.float64()), ("leaf", pa.bool_())])
+_SPARK = {"int64": "long", "int32": "int", "bool": "boolean", "double": "double"}
+
+
+def _numbered(walk):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, place = None, 0
+        for b in walk(batches):
+            own = np.asarray(b.column("root"))
+            places = np.empty(len(own), np.int32)
+            for i, r in enumerate(own.tolist()):
+                place = place + 1 if r == root else 0
+                root = r
+                places[i] = place
+            yield b.set_column(1, _WALKED.field("place"), pa.array(places))
+
+    return run
+
+
+def density_clusters(tables: list[DataFrame], dim: int = 64, min_size: int = 5, min_samples: int = 4, epsilon: float = 0.22, reach: float = 0.5, per_cell: int = 128, per_second: int = 1024, contrast: float = 1.5) -> DataFrame:
     """(field INT, key, cluster, core): the cluster (its smallest key) of every clustered vector of each table (field = its place).
 
     tables (two at most): image_id, features (a list of vectors), computed_at; the newest row of each image counts, other
     columns are ignored. Distances are 1 - cosine of vectors kept to 8 bits a component (about 0.001). Vectors in no
     cluster of `min_size` are strays and have no row; unusable vectors, empty tables neither. Copies are ordinary
-    members at distance 0. Only `reach` bounds the hierarchy: pieces farther apart never join.
+    members at distance 0. Clusters may have any density up to `reach`; pieces farther apart never join. A cluster must be born at a distance
+    of at least `contrast` times its least core distance.
+
+    Approximate is the neighbour search: vectors meet those of their cells. Pieces of FEW and more members are whole groups within epsilon; they
+    are not searched again. A member's lambda is taken as 1 / its core distance.
     """
     spark = tables[0].sparkSession
-    parts = [p for i, df in enumerate(tables) if (p := _cells(df, dim, i, min_samples, epsilon, reach, per_cell)) is not None]
+    parts = [p for i, df in enumerate(tables) if (p := _first_search(df, dim, i, min_samples, epsilon, reach, per_cell)) is not None]
     if not parts:
         return spark.createDataFrame([], "field int, key long, cluster long, core double")
     found = materialise(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
-    members = found.filter("kind = 0").groupBy("x").agg(F.min("y").alias("p"), F.max("y").alias("q"), F.min("w").alias("core"))
-    members = materialise(members.withColumnRenamed("x", "key"))
-    joined = components(members.filter("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b")))
+    # the pieces of a vector (one a cell) are one
+    members = materialise(found.filter("kind = 0").groupBy("x").agg(F.min("y").alias("p"), F.collect_set("y").alias("all"), F.min("w").alias("core")).withColumnRenamed("x", "key"))
+    joined = components(members.filter(F.size("all") > 1).select("p", F.explode("all").alias("q")).filter("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b")))
     member = members.join(joined.select(F.col("node").alias("p"), "root"), "p", "left").select("key", "core", F.coalesce("root", "p").alias("node"))
     member = materialise(member)
-    few = materialise(member.join(member.groupBy("node").count().filter(F.col("count") < FEW).select("node"), "node").select("key", "node", "core"))
+    small = member.groupBy("node").count().filter(F.col("count") < FEW).select("node")
+    few = materialise(member.join(small, "node").select("key", "node", "core"))
     searched = [_rows_of(df, dim, i, maybe_broadcast(few)) for i, df in enumerate(tables)]
     searched = materialise(searched[0] if len(searched) == 1 else searched[0].unionByName(searched[1]))
-    edges, cores = _exact(searched.select("key", "core", "small"), dim, min_samples, epsilon, reach)
-    edges = materialise(relabel(edges, searched.select(F.col("key").alias("node"), F.col("node").alias("root")), "w"))
-    met = components(edges.filter(F.col("w") <= epsilon).select("a", "b"))
-    joined = materialise(_compose(joined, met))
-    member = member.join(maybe_broadcast(met.withColumnRenamed("root", "met")), "node", "left").join(maybe_broadcast(cores.withColumnRenamed("core", "found")), "key", "left")
-    member = materialise(member.select("key", F.least("core", F.coalesce("found", "core")).alias("core"), F.coalesce("met", "node").alias("node")))
-    nodes = materialise(member.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(1 / F.greatest("core", F.lit(0.01))).alias("persist"), F.min("key").alias("first")))
-    dense = nodes.filter(F.col("n") >= min_size)
-    apart = found.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b"), "w").unionByName(edges.filter(F.col("w") > epsilon))
-    far = materialise(relabel(apart, joined, "w"))
-    hooked = boruvka(far, dense.select("node"))
-    between = materialise(relabel(far, hooked, "w"))  # edges between dense pieces, strays contracted
-    group = components(between.select("a", "b"))
-    grouped = dense.join(group, "node", "left").select("node", "n", "persist", F.coalesce("root", "node").alias("root"))
-    tied = between.join(group.select(F.col("node").alias("a"), "root"), "a").select("root", "a", "b", "w")
-
-    def select(key: tuple, own: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        got = condense(own, edges[edges["a"].isin(own["node"]) & edges["b"].isin(own["node"])], reach)
-        return pd.DataFrame([(k, v) for k, v in got.items() if v is not None], columns=["node", "cluster"]).astype("int64")
-
-    chosen = grouped.groupBy("root").cogroup(tied.groupBy("root")).applyInPandas(select, "node long, cluster long")
-    chosen = materialise(chosen)
-    names = chosen.join(nodes.select("node", "first"), "node").groupBy("cluster").agg(F.min("first").alias("name"))
-    labels = materialise(chosen.join(names, "cluster").select("node", "name"))
-    own = member.join(labels, "node").select("key", "core", "name")
-    left = member.join(labels, "node", "left_anti").select("key", "core")
-    left = materialise(searched.select("key", "small").join(maybe_broadcast(left), "key"))
-    near = _nearest_mean(left.select("key", "small"), materialise(_means(found, joined, labels, dim)), dim, epsilon)
-    out = materialise(own.unionByName(left.select("key", "core").join(near, "key").select("key", "core", "name")))
+    again = [p for i in range(len(tables)) if (p := _second_search(searched.filter(F.col("key") % 2 == i), dim, i, min_samples, epsilon, reach, per_second)) is not None]
+    edges = found.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b"), "w")
+    if again:
+        second = materialise(again[0] if len(again) == 1 else again[0].unionByName(again[1]))
+        lies = second.filter("kind = 0").select(F.col("x").alias("key"), F.col("y").alias("piece"), F.col("w").alias("found"))
+        lies = materialise(lies.join(few.select("key", "node"), "key").select("key", "piece", "found", "node"))
+        heads = materialise(lies.groupBy("piece").agg(F.min("node").alias("root")))
+        met = components(lies.join(heads, "piece").filter("root <> node").select(F.col("root").alias("a"), F.col("node").alias("b")))
+        cores = lies.groupBy("key").agg(F.min("found").alias("found"))
+        member = member.join(met.withColumnRenamed("root", "met"), "node", "left").join(cores, "key", "left")
+        member = materialise(member.select("key", F.least("core", F.coalesce("found", "core")).alias("core"), F.coalesce("met", "node").alias("node")))
+        joined = materialise(_compose(joined, met).unionByName(heads.select(F.col("piece").alias("node"), "root").join(met.select(F.col("node").alias("root"), F.col("root").alias("met")), "root", "left").select("node", F.coalesce("met", "root").alias("root"))))
+        edges = edges.unionByName(second.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b"), "w"))
+    far = materialise(relabel(edges, joined, "w"))
+    inverse = 1 / F.greatest("core", F.lit(0.01))
+    nodes = materialise(member.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(inverse).alias("persist"), F.min(F.greatest("core", F.lit(0.01))).alias("core")))
+    hooked = boruvka(far, nodes.select("node", "n"), min_size)
+    leaf = materialise(nodes.join(hooked, "node", "left").select("node", "n", "persist", "core", F.coalesce("root", "node").alias("leaf")))
+    leaves = leaf.groupBy(F.col("leaf").alias("node")).agg(F.sum("n").alias("n"), F.sum("persist").alias("persist"), F.min("core").alias("core")).filter(F.col("n") >= min_size)
+    chosen = hierarchy(leaves, relabel(far, hooked, "w"), reach, contrast)
+    labels = leaf.join(chosen.select(F.col("node").alias("leaf"), F.col("cluster").alias("name")), "leaf").select("node", "n", "name")
+    labels = materialise(labels.withColumn("solid", F.col("n") >= min_size))
+    solid = labels.filter("solid").select("node", "name")
+    # the mean of a cluster's solid pieces, or of all its vectors if it has none
+    loose = labels.join(solid.select("name").distinct(), "name", "left_anti").select("node", "name")
+    basis = materialise(solid.unionByName(loose))
+    own = materialise(member.join(basis, "node").select("key", "core", "name", "node"))
+    large = nodes.filter(F.col("n") >= FEW).select("node")
+    sums = found.filter("kind = 2").select(F.col("x").alias("p"), "total").join(joined.select(F.col("node").alias("p"), "root"), "p", "left").select(F.coalesce("root", "p").alias("node"), "total")
+    sums = sums.join(basis, "node").join(large, "node").select("name", "total")
+    in_few = searched.select("key", "small").join(own.join(large, "node", "left_anti").select("key", "name"), "key")
+    means = materialise(_means(sums.unionByName(_sums(in_few, dim)), dim))
+    # a cluster of small pieces whose mean is within epsilon of a larger one's is part of it (its vectors shared no cell with the rest)
+    wide = basis.join(large, "node").select("name").distinct()
+    merged = _nearest_mean(_bytes_of(means.join(wide, "name", "left_anti"), dim), means.join(wide, "name"), dim, epsilon)
+    merged = materialise(merged.select(F.col("key").alias("name"), F.col("name").alias("into")))
+    member_of = own.join(solid.select("node").distinct(), "node", "left_semi").select("key", "core", "name")
+    left = materialise(searched.select("key", "small").join(member_of.select("key"), "key", "left_anti"))
+    near = _nearest_mean(left, means, dim, epsilon)
+    out = member_of.unionByName(near.join(member.select("key", "core"), "key").select("key", "core", "name")).join(merged, "name", "left")
+    out = materialise(out.select("key", "core", F.coalesce("into", "name").alias("name")))
     # a vector that joined late may have the smallest key of its cluster
-    named = out.groupBy("name").agg(F.min("key").alias("least"))
-    out = out.join(named, "name").select("key", "core", F.col("least").alias("name"))
-    return out.select((F.col("key") % 2).cast("int").alias("field"), F.expr("key div 2").alias("key"), F.expr("name div 2").alias("cluster"), "core")
+    named = out.groupBy("name").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_size)
+    out = materialise(out.join(named, "name").select((F.col("key") % 2).cast("int").alias("field"), F.expr("key div 2").alias("key"), F.expr("least div 2").alias("cluster"), "core"))
+    for used in (found, searched, left, member, members):
+        forget(used)
+    return out
 
 
 def describe(clusters: DataFrame, exemplars: int = 3) -> DataFrame:

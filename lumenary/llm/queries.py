@@ -103,7 +103,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    gist = neighbours.nearest_neighbours(table(spark, folder, "gist"), 768, False, 5, 0.80, per_cell=200)
+    gist = neighbours.nearest_neighbours(table(spark, folder, "gist"), 768, False, 5, 0.80, per_cell=100)
     galif = neighbours.nearest_neighbours(table(spark, folder, "galif"), 64, True, 5, 0.99)
     return gist.withColumn("field", F.lit("gist")).unionByName(galif.withColumn("field", F.lit("galif")))
 

@@ -176,6 +176,48 @@ def test_a_small_cluster_spread_over_many_cells(spark):
     assert {i: got.get(i) for i in range(0, 1500, 250)} == dict.fromkeys(range(0, 1500, 250), 0)
 
 
+def around(rng, centers, each, cosine):
+    """Unit vectors with about that cosine to their center."""
+    out = []
+    for c in centers:
+        v = rng.normal(size=(each, len(c)))
+        v = unit(v - (v @ c)[:, None] * c)
+        out.append(cosine * c + np.sqrt(1 - cosine**2) * v)
+    return np.concatenate(out)
+
+
+def test_clusters_of_any_density_are_found(spark):
+    rng = np.random.default_rng(12)
+    centers = unit(rng.normal(size=(40, 64)))
+    m = np.concatenate([around(rng, centers[:20], 40, 0.83), around(rng, centers[20:], 40, 0.93)])
+    label = np.arange(len(m)) // 40
+    strays = unit(rng.normal(size=(300, 64)))
+    rows = [(i, [v.tolist()], T0, "x", 0) for i, v in enumerate(np.concatenate([m, strays]))]
+    found = density.density_clusters([spark.createDataFrame(rows, LOCAL)]).collect()
+    got = {r.key // 1000: r.cluster // 1000 for r in found}
+    assert {i: got.get(i) for i in range(len(m))} == {i: int(label[i]) * 40 for i in range(len(m))}
+    assert not [i for i in got if i >= len(m)]
+
+
+@pytest.mark.parametrize("shape", ["random", "path", "star"])
+def test_the_hierarchy_in_rounds_equals_that_of_one_task(spark, shape):
+    import pandas as pd
+
+    rng = np.random.default_rng(13)
+    n = 60
+    ends = {"random": [(int(rng.integers(i)), i) for i in range(1, n)] + [(int(a), int(b)) for a, b in rng.integers(0, n, (40, 2)) if a != b], "path": [(i - 1, i) for i in range(1, n)], "star": [(0, i) for i in range(1, n)]}[shape]
+    edges = pd.DataFrame([(min(a, b), max(a, b), float(w)) for (a, b), w in zip(ends, rng.uniform(0.1, 0.45, len(ends)), strict=True)], columns=["a", "b", "w"]).groupby(["a", "b"], as_index=False).min()
+    nearest = np.minimum(edges.groupby("a").w.min().reindex(range(n + 3)).fillna(1), edges.groupby("b").w.min().reindex(range(n + 3)).fillna(1))
+    core = np.minimum(nearest, 0.5) * rng.uniform(0.2, 1, n + 3)
+    size = rng.integers(5, 50, n + 3)
+    leaves = pd.DataFrame({"node": range(n + 3), "n": size, "persist": size / core * 0.9, "core": core})
+    want = density.condense(leaves, edges, 0.5, 1.5)
+    for limit in (0, 1000):
+        got = {r.node: r.cluster for r in density.hierarchy(spark.createDataFrame(leaves), spark.createDataFrame(edges), 0.5, 1.5, limit).collect()}
+        assert set(got) == set(want)
+        assert {frozenset(k for k in got if got[k] == v) for v in got.values()} == {frozenset(k for k in want if want[k] == v) for v in want.values()}
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(200, 200), (201, 202), (202, 201)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
