@@ -9,15 +9,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenary.session import maybe_broadcast
+from lumenary.session import materialise, maybe_broadcast
 
 #: Bits of the term hash, factors of a term, terms in a stretch and between the starts of two, labelled documents the model is fitted on at most.
 BITS, FACTORS, SPAN, STRIDE, MOST_LABELLED = 20, 8, 16, 4, 20_000
-#: Labelled documents a term must occur in to be learned; weight decay.
-LEAST, DECAY = 4, 2e-4
+#: Labelled documents a term must occur in to be learned; weight decay; characters of the labelled documents together at most.
+LEAST, DECAY, MOST_CHARACTERS = 4, 2e-4, 200_000_000
+#: Shares of the negative and of the positive marks that may be taken for wrong ones, and the score against its mark from which one is.
+DOUBTED, DOUBT = (0.02, 0.2), 1.0
 
 _invisible = re.compile("[­​-‏⁠-⁤﻿]")
 #: Cyrillic and Greek letters that look like Latin ones.
@@ -236,7 +238,10 @@ def distinct(x: np.ndarray) -> np.ndarray:
 
 def _train(doc: np.ndarray, one: np.ndarray, two: np.ndarray, y: np.ndarray, use: np.ndarray, rng: np.random.Generator, rounds: int = 4) -> FactorizationMachine:
     """Fit on documents' labels: a positive document is represented by the stretch that scores highest, a negative one by
-    its highest few and some others; these are chosen anew in each round."""
+    its highest few and some others; these are chosen anew in each round.
+
+    Reviewed marks are partly wrong: in the last two rounds up to DOUBTED of the documents of either mark are left out of the fit (not of
+    the scoring, nor of the choice of the limit), if the model of the round before contradicts their mark by more than DOUBT."""
     n = len(y)
     d, start, end = stretches(doc, n)
     on = use[d]
@@ -259,15 +264,14 @@ def _train(doc: np.ndarray, one: np.ndarray, two: np.ndarray, y: np.ndarray, use
         order = np.lexsort((-s, d))
         lead = np.r_[True, d[order][1:] != d[order][:-1]]
         rank = np.arange(len(order)) - np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))
-        if r >= 2:  # marks that the model contradicts most, one in 50 negative and one in 5 positive ones at most, are taken for wrong ones
+        if r >= 2:  # the marks that the model contradicts most are taken for wrong ones
             best = np.full(n, np.nan)
             best[d[order][lead]] = s[order][lead]
             trusted[:] = True
             for sign in (0, 1):
                 doubt = np.where(use & (y == sign) & np.isfinite(best), best * (1 - 2 * sign), -np.inf)
-                most = int((use & (y == sign)).sum() * (0.02 if sign == 0 else 0.2))
-                worst = np.argsort(-doubt)[:most]
-                trusted[worst[doubt[worst] > 1]] = False
+                worst = np.argsort(-doubt)[: int((use & (y == sign)).sum() * DOUBTED[sign])]
+                trusted[worst[doubt[worst] > DOUBT]] = False
         top = order[(rank < 1) | ((rank < 2) & (y[d[order]] == 0))]
         other = rng.choice(len(d), min(len(d), len(top)), replace=False)
         chosen = np.unique(np.r_[top, other[y[d[other]] == 0]])
@@ -314,26 +318,33 @@ def fit(texts: list[str | None], y: np.ndarray, seed: int = 9) -> Model:
     return Model(words, _train(doc, one, two, y, np.ones(len(y), bool), rng), limit if np.isfinite(limit) else 0.0)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int = MOST_LABELLED) -> tuple[list[str], np.ndarray]:
-    """Texts and marks of at most `most` labelled documents (all, if fewer; else those of smallest hash); repeated marks are decided by majority, ties are left out."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int = MOST_LABELLED, characters: int = MOST_CHARACTERS) -> tuple[list[str], np.ndarray]:
+    """Texts and marks of at most `most` labelled documents of at most `characters` in all: those of smallest hash, whole. Repeated marks are decided
+    by majority, ties are left out; of several texts under one key the least counts."""
     marks = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.avg(label).alias("_y")).filter("_y <> 0.5")
-    marks = marks.orderBy(F.xxhash64(key), key).limit(most)
-    rows = docs.select(key, text).join(maybe_broadcast(marks), key).filter(F.col(text).isNotNull()).select(text, "_y").limit(2 * most).collect()
+    marks = materialise(marks.orderBy(F.xxhash64(key), key).limit(most))
+    texts = docs.select(key, text).join(maybe_broadcast(marks), key).filter(F.col(text).isNotNull()).groupBy(key, "_y").agg(F.min(text).alias("_t"))
+    texts = materialise(texts)
+    order = Window.orderBy(F.xxhash64(key), key).rowsBetween(Window.unboundedPreceding, 0)  # `most` numbers at most
+    within = texts.select(key, F.length("_t").alias("_n"), F.xxhash64(key).alias("_h")).withColumn("_sum", F.sum("_n").over(order)).filter(F.col("_sum") <= characters)
+    rows = texts.join(maybe_broadcast(within.select(key)), key, "left_semi").select("_t", "_y").collect()
     return [r[0] for r in rows], np.array([int(r[1] > 0.5) for r in rows])
 
 
-def abuse_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """(key, score DOUBLE, flagged BOOLEAN) of every document; without words: score null, not flagged.
+def abuse_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", also: str | None = None) -> DataFrame:
+    """(key, score DOUBLE, flagged BOOLEAN[, also]) of every document; without words: score null, not flagged. `also` names a column to carry along.
 
     labels: key and `label` (1, 0; others and nulls are ignored; repeated rows vote). The factorization machine is fitted
-    on the driver on at most MOST_LABELLED labelled documents, then applied to every stretch of every whole text. Without
+    on the driver on at most MOST_LABELLED labelled documents and MOST_CHARACTERS characters, then applied to every stretch of SPAN
+    words (one every STRIDE) of every whole text: pairs of words farther apart add nothing to each other. Without
     both kinds of label nothing can be learned: all scores are null and nothing is flagged.
     """
+    kept = [also] if also else []
     texts, y = labelled_texts(docs, labels, key, text, label)
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, score double, flagged boolean"
+    schema = ", ".join([f"`{key}` {kind}, score double, flagged boolean", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)])
     if not len(y) or y.min() == y.max():
-        return docs.select(key, F.lit(None).cast("double").alias("score"), F.lit(False).alias("flagged"))
+        return docs.select(key, F.lit(None).cast("double").alias("score"), F.lit(False).alias("flagged"), *kept)
     order = sorted(range(len(y)), key=lambda i: (texts[i], y[i]))  # the fit doesn't depend on the order of arrival
     model = docs.sparkSession.sparkContext.broadcast(fit([texts[i] for i in order], y[order]))
 
@@ -343,12 +354,11 @@ def abuse_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
                 s = m.score(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64(), mask=~np.isfinite(s)), pa.array(s > m.limit)], [key, "score", "flagged"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64(), mask=~np.isfinite(s)), pa.array(s > m.limit), *(part.column(2 + j) for j in range(len(kept)))], [key, "score", "flagged", *kept])
 
-    return docs.select(key, text).mapInArrow(score, schema)
+    return docs.select(key, text, *kept).mapInArrow(score, schema)
 
 
-def rates(docs: DataFrame, scores: DataFrame, key: str, by: str) -> DataFrame:
-    """(by, documents, flagged, rate): documents and flagged ones of each value of `by`; null is a value of its own."""
-    both = docs.select(key, by).join(scores.select(key, "flagged"), key)
-    return both.groupBy(by).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("flagged").cast("long")).alias("flagged"), F.avg(F.col("flagged").cast("double")).alias("rate"))
+def rates(scores: DataFrame, by: str) -> DataFrame:
+    """(by, documents, flagged, rate): documents and flagged ones of each value of `by`; null is a value of its own. scores: with the column `by`."""
+    return scores.groupBy(by).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("flagged").cast("long")).alias("flagged"), F.avg(F.col("flagged").cast("double")).alias("rate"))

@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a search string, of a block, and of the shift table's index; bytes that one lane searches; words of all items together.
-LENGTH, BLOCK, BITS, LANE, MOST_WORDS = 16, 4, 18, 1024, 2_000_000
+#: Bytes of a search string, of one for short words, of a block, and of the shift table's index; bytes that one lane searches; words of a seed;
+#: characters of all items together.
+LENGTH, SHORT, BLOCK, BITS, LANE, SEED, MOST_CHARACTERS = 16, 8, 4, 18, 1024, 4, 16_000_000
 
 _escaped = re.compile(r"\\+[nrtfv]")
 _between = re.compile(r"[\W_]+")
@@ -31,20 +32,22 @@ def normalised(text: str | None) -> str:
 
 
 class WuManber:
-    """Search for many byte strings of LENGTH at once, in many lanes of a text side by side.
+    """Search for many byte strings of at least `length` bytes (LENGTH at most) at once, in many lanes of a text side by side.
 
-    The shift table holds for each block of BLOCK bytes how far a window that ends in it may move before a string could
-    match; where the shift is 0 the window's hash selects the strings of its bucket, and all bytes are compared.
+    The shift table holds for each block of BLOCK bytes how far a window of `length` bytes that ends in it may move before a string could
+    match. Where the shift is 0, the hash of the window's last block and its first two bytes selects the strings of a bucket,
+    and all bytes of each are compared.
     """
 
-    def __init__(self, strings: list[bytes]) -> None:
-        self.strings = sorted(set(strings))
-        m = np.frombuffer(b"".join(self.strings), np.uint8).reshape(-1, LENGTH)
-        self.shift = np.full(1 << BITS, LENGTH - BLOCK + 1, np.uint8)
-        for end in range(BLOCK, LENGTH + 1):
-            np.minimum.at(self.shift, self._block(m[:, end - BLOCK : end]), np.uint8(LENGTH - end))
-        self.bytes = np.ascontiguousarray(m).view("<u8").reshape(-1, 2)
-        bucket = self._bucket(self.bytes)
+    def __init__(self, strings: list[bytes], length: int = LENGTH) -> None:
+        self.strings, self.length = sorted(set(strings)), length
+        m = np.frombuffer(b"".join(s[:length] for s in self.strings), np.uint8).reshape(-1, length)
+        self.shift = np.full(1 << BITS, length - BLOCK + 1, np.uint8)
+        for end in range(BLOCK, length + 1):
+            np.minimum.at(self.shift, self._block(m[:, end - BLOCK : end]), np.uint8(length - end))
+        self.bytes = np.frombuffer(b"".join(s.ljust(LENGTH, b"\0") for s in self.strings), "<u8").reshape(-1, 2)
+        self.mask = np.frombuffer(b"".join((b"\xff" * len(s)).ljust(LENGTH, b"\0") for s in self.strings), "<u8").reshape(-1, 2)
+        bucket = self._bucket(m)
         self.order = np.argsort(bucket, kind="stable")
         self.buckets = bucket[self.order]
 
@@ -54,19 +57,21 @@ class WuManber:
         k = k[:, 0] | (k[:, 1] << 8) | (k[:, 2] << 16) | (k[:, 3] << 24)
         return (k * np.uint32(2654435761)) >> np.uint32(32 - BITS)
 
-    @staticmethod
-    def _bucket(b: np.ndarray) -> np.ndarray:
-        return (b[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (b[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F))
+    def _bucket(self, m: np.ndarray) -> np.ndarray:
+        """The suffix block and the prefix (after the space at which all strings begin) of windows of `length` bytes."""
+        tail = m[:, self.length - BLOCK : self.length].astype(np.uint64)
+        key = tail[:, 0] | (tail[:, 1] << np.uint64(8)) | (tail[:, 2] << np.uint64(16)) | (tail[:, 3] << np.uint64(24))
+        return key | (m[:, 1].astype(np.uint64) << np.uint64(32)) | (m[:, 2].astype(np.uint64) << np.uint64(40))
 
     def search(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, string numbers) of all occurrences in a uint8 array, by position."""
+        """(positions, string numbers) of all occurrences in a uint8 array that ends with LENGTH bytes of zero, by position."""
         last = len(text) - LENGTH
         if last < 0 or not self.strings:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         at = np.arange(0, last + 1, LANE)
         end = np.minimum(at + LANE, last + 1)
         hits = []
-        tail = np.arange(LENGTH - BLOCK, LENGTH)
+        tail = np.arange(self.length - BLOCK, self.length)
         while len(at):
             move = self.shift[self._block(text[at[:, None] + tail])]
             zero = move == 0
@@ -79,14 +84,16 @@ class WuManber:
         out_at, out_s = [], []
         for i in range(0, len(at), 65536):
             part = at[i : i + 65536]
-            w = np.ascontiguousarray(text[part[:, None] + np.arange(LENGTH)]).view("<u8").reshape(-1, 2)
-            b = self._bucket(w)
+            m = np.ascontiguousarray(text[part[:, None] + np.arange(LENGTH)])
+            b, w = self._bucket(m), m.view("<u8").reshape(-1, 2)
             lo, hi = np.searchsorted(self.buckets, b), np.searchsorted(self.buckets, b, side="right")
-            who = np.repeat(np.arange(len(part)), hi - lo)
-            s = self.order[np.repeat(lo, hi - lo) + np.arange(len(who)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)] if len(who) else np.empty(0, np.int64)
-            same = (self.bytes[s] == w[who]).all(axis=1)
-            out_at.append(part[who[same]])
-            out_s.append(s[same])
+            for j in range(0, len(part), 4096):
+                n = (hi - lo)[j : j + 4096]
+                who = np.repeat(np.arange(j, j + len(n)), n)
+                s = self.order[np.repeat(lo[j : j + 4096], n) + np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)] if len(who) else np.empty(0, np.int64)
+                same = ((w[who] & self.mask[s]) == self.bytes[s]).all(axis=1)
+                out_at.append(part[who[same]])
+                out_s.append(s[same])
         return np.concatenate([*out_at, np.empty(0, np.int64)]), np.concatenate([*out_s, np.empty(0, np.int64)])
 
 
@@ -117,7 +124,11 @@ def aligned_passage(item: list[int], doc: list[int], words: int) -> int:
 
 
 class Passages:
-    """The items' search strings and words, and the search of one batch of texts."""
+    """The items' search strings and words, and the search of one batch of texts.
+
+    A seed is the first LENGTH bytes from a word on, where its SEED words fill them, else the SEED words as a whole: so SEED words of an item
+    that stand in a text always leave a seed. 25 words of which 20 agree hold a stretch of five or two of four, thus two seeds.
+    """
 
     def __init__(self, items: list[tuple[int, str]], words: int) -> None:
         self.words, self.ids, self.items, self.known = words, [i for i, _ in items], [], {}
@@ -128,12 +139,13 @@ class Passages:
             self.items.append(np.array([self.known.setdefault(w, len(self.known)) for w in parts], np.int64))
             at = 0
             for place, w in enumerate(parts):
-                string = norm[at : at + LENGTH]
-                if len(string) == LENGTH:
-                    where.setdefault(string, []).append((number, place))
+                if place + SEED <= len(parts):
+                    size = sum(map(len, parts[place : place + SEED])) + SEED + 1
+                    where.setdefault(norm[at : at + min(size, LENGTH)], []).append((number, place))
                 at += len(w) + 1
-        self.index = WuManber(list(where))
-        lists = [where[s] for s in self.index.strings]
+        self.long, self.short = WuManber([s for s in where if len(s) == LENGTH]), WuManber([s for s in where if len(s) < LENGTH], SHORT)
+        lists = [where[s] for s in self.long.strings + self.short.strings]
+        self.bytes = np.array([len(s) for s in self.long.strings + self.short.strings], np.int64)
         self.first = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int64)
         self.item = np.array([n for x in lists for n, _ in x], np.int64)
         self.place = np.array([p for x in lists for _, p in x], np.int64)
@@ -146,11 +158,12 @@ class Passages:
         norm = [normalised(t).encode() for t in texts]
         starts = np.r_[0, np.cumsum([len(t) for t in norm])].astype(np.int64)
         buffer = np.frombuffer(b"".join(norm) + bytes(LENGTH), np.uint8)
-        at, s = self.index.search(buffer)
+        (at, s), (short_at, short_s) = self.long.search(buffer), self.short.search(buffer)
+        at, s = np.r_[at, short_at], np.r_[s, short_s + len(self.long.strings)]
         if not len(at):
             return
         doc = np.searchsorted(starts, at, side="right") - 1
-        on = at + LENGTH <= starts[doc + 1]
+        on = at + self.bytes[s] <= starts[doc + 1]
         at, s, doc = at[on], s[on], doc[on]
         n = self.first[s + 1] - self.first[s]
         rep = np.repeat(np.arange(len(s)), n)
@@ -171,8 +184,7 @@ class Passages:
             yield *divmod(p, len(self.ids)), length
 
     def _straight(self, pair: np.ndarray, place: np.ndarray, word: np.ndarray, own: np.ndarray, flat: np.ndarray, first: np.ndarray) -> dict[int, int]:
-        """Pairs with a passage in which no word is skipped: two seeds at least share its lag (25 words of which 20 agree
-        hold two stretches of four words), and all places of that lag are compared."""
+        """Pairs with a passage in which no word is skipped: two seeds at least share its lag, and all places of that lag are compared."""
         lag = word - place
         order = np.lexsort((lag, pair))
         p, g = pair[order], lag[order]
@@ -201,16 +213,17 @@ class Passages:
         return best
 
     def _bent(self, pair: np.ndarray, place: np.ndarray, word: np.ndarray, own: np.ndarray, flat: np.ndarray, first: np.ndarray) -> dict[int, int]:
-        """Pairs with a passage in which words are skipped: its seeds' lags differ by little from one to the next."""
+        """Pairs with a passage in which words are skipped: from one of its seeds' lags to the next there are at most the fifth of its
+        length that may disagree, that is a quarter of the item's words."""
         lag = word - place
         order = np.lexsort((lag, pair))
         p, g = pair[order], lag[order]
         best: dict[int, int] = {}
         if not len(p):
             return best
-        start = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (g[1:] - g[:-1] > 8)])
+        start = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (g[1:] - g[:-1] > self.sizes[p[1:] % len(self.ids)] // 4 + 1)])
         for x, y in zip(start, np.r_[start[1:], len(p)], strict=True):
-            if y - x < 3:
+            if y - x < 2:
                 continue
             at = order[x:y]
             n, o = int(p[x]) % len(self.ids), int(own[at[0]])
@@ -233,11 +246,13 @@ def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     they real or escaped. Null and empty texts hold nothing; an item with fewer than `words` words is never found. Equal documents or
     items are each reported. Items with a null id are left out. Whole texts are searched.
 
-    The items go to every worker; they may have MOST_WORDS words in all (a checked bound, else an error).
+    The items go to every worker; they may have MOST_CHARACTERS characters in all (checked before they are read, else an error; items too
+    short to be found don't count).
     """
-    rows = [(r[0], r[1]) for r in items.filter(F.col(item).isNotNull()).select(item, "text").limit(MOST_WORDS).collect()]
-    if sum(len(t or "") for _, t in rows) > 8 * MOST_WORDS:
+    known = items.filter(F.col(item).isNotNull() & (F.length("text") >= 2 * words - 1)).select(item, "text")
+    if (known.agg(F.sum(F.length("text"))).first()[0] or 0) > MOST_CHARACTERS:
         raise ValueError("the items are too large to be sent to every worker; search them in parts")
+    rows = [(r[0], r[1]) for r in known.collect()]
     held: list[Passages] = []
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,13 +43,13 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", token
     return docs.select(key, text).mapInArrow(count, f"`{key}` {kind}, tokens int")
 
 
-def harmonic_bins(sizes: np.ndarray, capacity: int, classes: int = 12) -> tuple[np.ndarray, int]:
+def harmonic_bins(sizes: np.ndarray, capacity: int, classes: int = 12, refill: bool = True) -> tuple[np.ndarray, int]:
     """(bin of each item, number of bins) for sizes in 1..capacity.
 
     Class j < classes holds sizes in (capacity/(j+1), capacity/j]; its bins get j items each, in descending order so
     that a bin's items are alike. What a full bin leaves is then offered to the smaller classes' items (largest first
     into the bin with the most room), as the refined forms of the harmonic rule do; items of the last class that remain
-    are put one after another. At most one bin a class stays open.
+    are put one after another. At most one bin a class stays open. refill False: the plain rule, nothing is offered.
     """
     order = np.argsort(-sizes, kind="stable")
     cls = np.minimum(capacity // np.maximum(sizes, 1), classes)
@@ -63,7 +63,7 @@ def harmonic_bins(sizes: np.ndarray, capacity: int, classes: int = 12) -> tuple[
         rest = []
         for i in items.tolist():
             s = int(sizes[i])
-            if heap and -heap[0][0] >= s:
+            if refill and heap and -heap[0][0] >= s:
                 r, b = heapq.heappop(heap)
                 bins[i] = b
                 room[b] = -r - s
@@ -91,14 +91,14 @@ def harmonic_bins(sizes: np.ndarray, capacity: int, classes: int = 12) -> tuple[
     return bins, len(room)
 
 
-def pack(items: DataFrame, key: str, size: str, capacity: int, per_worker: int = 20_000, rows: int | None = None) -> DataFrame:
+def pack(items: DataFrame, key: str, size: str, capacity: int, per_worker: int = 20_000, rows: int | None = None, refill: bool = True) -> DataFrame:
     """(key, piece, start, tokens, container BIGINT, place): which part of an item lies where in which container.
 
     Sizes may be null, 0 or less: such an item is one piece of 0 tokens in container null. Only an item larger than
     `capacity` is split: into full containers and one remainder, which is packed with the other items. Items of equal
     keys are packed like any others. An empty table gives an empty result.
 
-    `rows` saves counting the items (an estimate will do: it sets the number of groups). Items are dealt to groups of about
+    `refill` False packs by the plain harmonic rule. `rows` saves counting the items (an estimate will do: it sets the number of groups). Items are dealt to groups of about
     `per_worker` by a hash that also takes in the row's place, so that equal keys spread; each group is packed by itself, so no
     task holds more, and each leaves at most one open bin a class. Other columns are ignored.
     """
@@ -116,7 +116,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, per_worker: int =
         piece = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         length = np.where(piece < full[at], capacity, rest[at])
         some = length > 0
-        bins, n = harmonic_bins(length[some], capacity)
+        bins, n = harmonic_bins(length[some], capacity, refill=refill)
         container = pd.array([pd.NA] * len(at), dtype="Int64")
         container[np.flatnonzero(some)] = bins + group * 2**32
         frame = pd.DataFrame({"k": k[at], "piece": piece.astype(np.int32), "start": piece * capacity, "tokens": length.astype(np.int32), "container": container})

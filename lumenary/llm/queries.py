@@ -32,6 +32,13 @@ def p2_sample(spark: SparkSession, folder: str) -> DataFrame:
     return reservoir.reservoir_sample(features, ["image_id", "n"], "piece", 1000)
 
 
+@query
+def p2_tenth(spark: SparkSession, folder: str) -> DataFrame:
+    """A tenth of the usable shog features, each with the same chance: a reservoir that grows with the data."""
+    features = materialise(reservoir.usable_local_features(table(spark, folder, "shog")))
+    return reservoir.reservoir_sample(features, ["image_id", "n"], "piece", features.count() // 10)
+
+
 def _word_counts(spark: SparkSession, folder: str) -> DataFrame:
     galif, vocabulary = table(spark, folder, "galif"), table(spark, folder, "vocabulary")
     images = latest_rows(galif, "image_id", "computed_at", ["features"])
@@ -90,6 +97,19 @@ def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.token_counts(docs), "doc_id", "tokens", 2048, rows=docs.count())
 
 
+@query
+def p6_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """What the packing must keep: every document is there, no container is too full, no document that fits is split."""
+    parts = materialise(p6_containers(spark, folder))
+    over = parts.groupBy("container").agg(F.sum("tokens").alias("n")).filter("container is not null and n > 2048").agg(F.count(F.lit(1)).alias("overfull"))
+    split = parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("tokens").alias("n"))
+    split = split.agg(F.count(F.lit(1)).alias("documents"), F.count(F.when((F.col("n") <= 2048) & (F.col("parts") > 1), 1)).alias("needlessly_split"))
+    return split.crossJoin(over)  # one row each
+
+
+ORACLES["p6_totals"] = "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS needlessly_split, 0::BIGINT AS overfull FROM documents"
+
+
 def _gist_classes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     vectors = features.global_features(table(spark, folder, "gist"))
     return near_duplicates.similar_classes(vectors, 768, 0.97, 0.86)
@@ -102,6 +122,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("image_a"), F.col("b").alias("image_b"))
 
 
+ORACLES["p1_found"] = """
+WITH r AS (SELECT image_id, CAST(features AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY image_id ORDER BY computed_at DESC) AS r FROM gist),
+u AS (SELECT image_id, v FROM r WHERE r = 1 AND v IS NOT NULL AND len(v) = 768
+      AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0)
+SELECT a.image_id AS image_a, b.image_id AS image_b FROM u a JOIN u b ON a.image_id < b.image_id WHERE round(list_cosine_similarity(a.v, b.v), 9) >= 0.97
+"""
+
+
 def _neighbours(spark: SparkSession, folder: str) -> DataFrame:
     gist = neighbours.nearest_neighbours(table(spark, folder, "gist"), 768, False, 5, 0.80, per_cell=100)
     galif = neighbours.nearest_neighbours(table(spark, folder, "galif"), 64, True, 5, 0.99)
@@ -142,8 +170,8 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select("doc_id", "item_id")
 
 
-def _abuse(spark: SparkSession, folder: str) -> DataFrame:
-    return abuse.abuse_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+def _abuse(spark: SparkSession, folder: str, also: str | None = None) -> DataFrame:
+    return abuse.abuse_scores(table(spark, folder, "documents"), table(spark, folder, "labels"), also=also)
 
 
 @query
@@ -155,4 +183,13 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p8_source_rates(spark: SparkSession, folder: str) -> DataFrame:
     """How many documents of each source are flagged."""
-    return abuse.rates(table(spark, folder, "documents"), _abuse(spark, folder), "doc_id", "source")
+    return abuse.rates(_abuse(spark, folder, "source"), "source")
+
+
+@query
+def p8_source_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The scored documents of each source: none is left out."""
+    return p8_source_rates(spark, folder).select("source", "documents")
+
+
+ORACLES["p8_source_documents"] = "SELECT source, count(*) AS documents FROM documents GROUP BY source"

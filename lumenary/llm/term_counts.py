@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,8 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a container from which it bursts into a node; terms of a flushed worker trie; terms looked at to choose routes.
-BURST, FLUSH, ROUTE_SAMPLE, ROUTE_BURST = 512, 200_000, 50_000, 512
+from lumenary.session import materialise
+
+#: Entries of a container from which it bursts into a node; terms of a flushed worker trie; sent terms under a prefix from which its route is split, at
+#: least; routes that are split at most; characters of the longest prefix that is split, and parts of one that is still too full.
+BURST, FLUSH, ROUTE_BURST, ROUTES, DEEPEST, PARTS = 512, 200_000, 512, 20_000, 8, 64
 
 
 class BurstTrie:
@@ -78,34 +82,35 @@ class BurstTrie:
                     stack.append((prefix + c, child))
 
 
-def _routes(terms: list[str]) -> list[str]:
-    """Prefixes under which a sample of the terms falls into groups of at most ROUTE_BURST different terms."""
-    trie = BurstTrie(ROUTE_BURST)
-    for t in terms:
-        trie.add(t, 1, 1)
-    return sorted({p for p, _ in trie.containers()} | {""})
-
-
-def _route(term: str, routes: set[str], longest: int) -> str:
-    for n in range(min(longest, len(term)), -1, -1):
-        if term[:n] in routes:
-            return term[:n]
-    return ""
-
-
-def _flush(trie: BurstTrie, routes: set[str], longest: int) -> Iterator[pa.RecordBatch]:
-    out: dict[str, tuple[list, list, list]] = {}
+def _flush(trie: BurstTrie) -> Iterator[pa.RecordBatch]:
+    """The containers of a worker's trie as (terms, occ, rec), some thousands of terms a row."""
+    terms, occ, rec = [], [], []
+    sizes = [0]
     for prefix, entries in trie.containers():
-        whole = _route(prefix, routes, longest) if len(prefix) >= longest else None
-        for suffix, (occ, rec) in entries.items():
-            term = prefix + suffix
-            t, o, r = out.setdefault(whole if whole is not None else _route(term, routes, longest), ([], [], []))
-            t.append(term)
-            o.append(occ)
-            r.append(rec)
-    if out:
-        cols = list(out.values())
-        yield pa.RecordBatch.from_arrays([pa.array(list(out)), pa.array([c[0] for c in cols], pa.list_(pa.string())), pa.array([c[1] for c in cols], pa.list_(pa.int64())), pa.array([c[2] for c in cols], pa.list_(pa.int64()))], ["route", "terms", "occ", "rec"])
+        for suffix, (o, r) in entries.items():
+            terms.append(prefix + suffix)
+            occ.append(o)
+            rec.append(r)
+        if len(terms) - sizes[-1] >= 4096:
+            sizes.append(len(terms))
+    if len(terms) > sizes[-1]:
+        sizes.append(len(terms))
+    if terms:
+        at = pa.array(np.array(sizes, np.int32))
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, x) for x in (pa.array(terms, pa.string()), pa.array(occ, pa.int64()), pa.array(rec, pa.int64()))], ["terms", "occ", "rec"])
+
+
+def _split_prefixes(sent: DataFrame) -> tuple[set[str], int]:
+    """(prefixes under which more than a share of the sent terms lie, characters of the longest): the inner nodes of the merged trie.
+
+    The share is such that at most about ROUTES prefixes of each length qualify, however many terms there are.
+    """
+    total = sent.agg(F.sum(F.size("terms"))).first()[0] or 0
+    per = max(ROUTE_BURST, total // ROUTES)
+    terms = sent.select(F.explode("terms").alias("t"))
+    prefixes = terms.select(F.explode(F.transform(F.sequence(F.lit(0), F.least(F.length("t"), F.lit(DEEPEST))), lambda n: F.substring("t", F.lit(1), n))).alias("p"))
+    full = {r.p for r in prefixes.groupBy("p").count().filter(F.col("count") > per).select("p").collect()}
+    return full, max(map(len, full), default=0)
 
 
 def term_frequencies(records: DataFrame, terms: str) -> DataFrame:
@@ -114,15 +119,12 @@ def term_frequencies(records: DataFrame, terms: str) -> DataFrame:
     records: one row per record; `terms`: its ARRAY<STRING> column. Null arrays, empty arrays and null terms count
     for nothing; the empty string is a term. Other columns are ignored. An empty table gives an empty result.
 
-    Each worker fills a burst trie over its rows (flushed at FLUSH different terms, so its memory is bounded) and sends
-    its subtrees, already counted, to the prefix they belong under; the matching subtrees are merged there. The prefixes
-    come from a burst trie over at most ROUTE_SAMPLE terms: they decide where a subtree goes, not what is counted.
+    Each worker fills a burst trie over its rows (flushed at FLUSH different terms, so its memory is bounded); the tables are read once. What the
+    workers send, already counted, is routed by adaptive prefixes: a prefix under which many sent terms lie is split by the next character, as a trie's
+    node that bursts, and from DEEPEST characters on by a hash. The matching subtrees are merged at the end of their route, so
+    the number of routes follows that of the different terms.
     """
     records = records.select(F.col(terms).alias("terms"))
-    seen = records.select(F.explode("terms").alias("t")).filter("t is not null").limit(ROUTE_SAMPLE)
-    known = [r.t for r in seen.distinct().collect()]
-    routes = set(_routes(known))
-    longest = max(map(len, routes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = BurstTrie()
@@ -146,9 +148,32 @@ def term_frequencies(records: DataFrame, terms: str) -> DataFrame:
                 if o:
                     trie.add(w, o, r)
             if trie.size >= FLUSH:
-                yield from _flush(trie, routes, longest)
+                yield from _flush(trie)
                 trie = BurstTrie()
-        yield from _flush(trie, routes, longest)
+        yield from _flush(trie)
+
+    sent = materialise(records.mapInArrow(count, "terms array<string>, occ array<bigint>, rec array<bigint>"))
+    full, longest = _split_prefixes(sent)
+
+    def route(term: str) -> str:
+        n = 0
+        while n <= longest and n <= len(term) and term[:n] in full:
+            n += 1
+        if n > DEEPEST:
+            return f"{term[:DEEPEST]}\0{zlib.crc32(term.encode()) % PARTS}"
+        return term[:n]
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for terms_, occ, rec in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                out: dict[str, tuple[list, list, list]] = {}
+                for t, o, r in zip(terms_, occ, rec, strict=True):
+                    x = out.setdefault(route(t), ([], [], []))
+                    x[0].append(t)
+                    x[1].append(o)
+                    x[2].append(r)
+                cols = list(out.values())
+                yield pa.RecordBatch.from_arrays([pa.array(list(out)), pa.array([c[0] for c in cols], pa.list_(pa.string())), pa.array([c[1] for c in cols], pa.list_(pa.int64())), pa.array([c[2] for c in cols], pa.list_(pa.int64()))], ["route", "terms", "occ", "rec"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, trie = None, BurstTrie()
@@ -166,8 +191,8 @@ def term_frequencies(records: DataFrame, terms: str) -> DataFrame:
                     trie.add(t, o, r)
         yield from out()
 
-    sent = records.mapInArrow(count, "route string, terms array<string>, occ array<bigint>, rec array<bigint>")
-    return sent.repartition("route").sortWithinPartitions("route").mapInArrow(merge, "term string, occurrences bigint, records bigint")
+    parts = sent.mapInArrow(routed, "route string, terms array<string>, occ array<bigint>, rec array<bigint>")
+    return parts.repartition("route").sortWithinPartitions("route").mapInArrow(merge, "term string, occurrences bigint, records bigint")
 
 
 def marked(counts: DataFrame, total: int, rare: float = 1 / 400, common: float = 3 / 10) -> DataFrame:
