@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Largest first codebook; words of each later codebook; levels after the two that name the cell.
-FIRST, LATER, EXTRA = 1024, 256, 2
+FIRST, LATER, EXTRA = 512, 256, 2
 
 
 def _nearest(x: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
@@ -116,12 +116,12 @@ class Cells:
         self.full, self.parts = ids[full > 1], full[full > 1]
 
     def _counted(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = [self.place(x[i : i + 4096])[1] for i in range(0, len(x), 4096)]
+        found = [self.place(x[i : i + 4096], False)[1] for i in range(0, len(x), 4096)]
         return np.unique(np.concatenate([*found, np.empty(0, np.int64)]), return_counts=True)
 
-    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, cell, codes): the cells of each row of x, codes by row; rows of x are unit vectors (float32)."""
-        codes, pair = self.aq.encode(x, self.probes, margin=self.margin)
+    def place(self, x: np.ndarray, coded: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, codes): the cells of each row of x, codes by row (not coded: of two words only); rows of x are unit vectors (float32)."""
+        codes, pair = self.aq.encode(x, self.probes, None if coded else 2, self.margin)
         new = np.ones(pair.shape, bool)
         for j in range(1, pair.shape[1]):
             new[:, j] = (pair[:, j : j + 1] != pair[:, :j]).all(axis=1)

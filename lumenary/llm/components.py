@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenary.session import forget, materialise
+from lumenary.session import forget, materialise, maybe_broadcast
+
+#: Edges up to which one task does what is left (a checked bound; the result is the same but for the choice of the roots).
+ONE_TASK = 200_000
 
 
 def _roots(parents: DataFrame) -> DataFrame:
@@ -71,9 +75,44 @@ def turned(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.withColumns({"a": F.col("b"), "b": F.col("a")}))
 
 
+def united(a: list[int], b: list[int], n: dict[int, int], enough: float) -> list[tuple[int, int]]:
+    """(node, root): edges in the given order join two components unless both have `enough` members. n: members of a node, 1 if not given."""
+    parent = {v: v for v in [*a, *b]}
+    size = {v: n.get(v, 1) for v in parent}
+
+    def find(v: int) -> int:
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    for x, y in zip(map(find, a), b, strict=True):
+        x, y = find(x), find(y)
+        if x != y and (size[x] < enough or size[y] < enough):
+            x, y = (x, y) if size[x] >= size[y] else (y, x)
+            parent[y] = x
+            size[x] += size[y]
+    return [(v, find(v)) for v in parent]
+
+
+def _in_one_task(edges: DataFrame, weight: str | None, sizes: DataFrame | None, enough: int) -> DataFrame:
+    """(node, root) of `edges`, ONE_TASK at most."""
+
+    def run(edges: pd.DataFrame, sizes: pd.DataFrame) -> pd.DataFrame:
+        edges = edges.sort_values(([weight] if weight else []) + ["a", "b"])
+        n = dict(zip(sizes["node"].tolist(), sizes["n"].tolist(), strict=True))
+        return pd.DataFrame(united(edges["a"].tolist(), edges["b"].tolist(), n, enough if weight and enough else float("inf")), columns=["node", "root"]).astype("int64")
+
+    ends = maybe_broadcast(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * ONE_TASK)
+    own = sizes.join(ends, "node", "left_semi").select("node", "n") if sizes is not None else edges.limit(0).select(F.col("a").alias("node"), F.lit(1).alias("n"))
+    return edges.withColumn("g", F.lit(0)).groupBy("g").cogroup(own.withColumn("g", F.lit(0)).groupBy("g")).applyInPandas(run, "node long, root long")
+
+
 def _contract(edges: DataFrame, weight: str | None, sizes: DataFrame | None = None, enough: int = 0) -> DataFrame:
     edges, labels = materialise(edges), None
-    while not edges.isEmpty():
+    while left := edges.count():
+        if left <= ONE_TASK:
+            return materialise(_compose(labels, _in_one_task(edges, weight, sizes, enough)))
         if weight:
             both = turned(edges)
             if sizes is not None:

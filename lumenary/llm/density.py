@@ -89,7 +89,7 @@ _CELL = "cell long, key long, small binary, first boolean"
 
 def _placed(cells: Cells, ids: np.ndarray, x: np.ndarray, small: np.ndarray, field: int) -> pa.RecordBatch:
     """Rows of _CELL: each vector in each of its cells; what no word splits is dealt to blocks by a hash that differs from cell to cell of a vector."""
-    who, cell, _ = cells.place(x)
+    who, cell, _ = cells.place(x, False)
     order = np.argsort(who, kind="stable")
     who, cell = who[order], cell[order]
     first = np.r_[True, who[1:] != who[:-1]] if len(who) else np.zeros(0, bool)
@@ -100,9 +100,10 @@ def _placed(cells: Cells, ids: np.ndarray, x: np.ndarray, small: np.ndarray, fie
     return pa.RecordBatch.from_arrays([pa.array((cell << 20 | part) * 2 + field), pa.array(ids[who]), fixed_binary(small[who]), pa.array(first)], ["cell", "key", "small", "first"])
 
 
-def _trees(rows: DataFrame, dim: int, min_samples: int, epsilon: float, reach: float, sums: bool) -> DataFrame:
+def _trees(rows: DataFrame, dim: int, min_samples: int, epsilon: float, reach: float, first_search: bool) -> DataFrame:
     """(kind, x, y, w, total) of rows _CELL: kind 0: vector x lies in piece y with core distance w; kind 1: pieces x and y are w apart;
-    kind 2 (if `sums`): the vectors whose first cell this is in piece x of two or more add up to total."""
+    kind 2 (first search only): the vectors whose first cell this is in piece x of two or more add up to total. The first search
+    leaves edges between two pieces of fewer than `min_samples` to the second, in which both are."""
 
     def search(t: pa.Table) -> pa.Table:
         cell = t.column("cell")[0].as_py()
@@ -125,7 +126,10 @@ def _trees(rows: DataFrame, dim: int, min_samples: int, epsilon: float, reach: f
             # a piece is named by one of its vectors in this cell
             piece = _name(keys[own][local], cell)
             far = ~close & (w <= reach)
-            summed = sums & first[own] & (np.bincount(local, minlength=len(own)) > 1)[local]
+            count = np.bincount(local, minlength=len(own))[local]
+            if first_search:
+                far &= np.maximum(count[a], count[b]) >= min_samples
+            summed = first_search & first[own] & (count > 1)
             which, place = np.unique(piece[summed], return_inverse=True)
             added = np.zeros((len(which), dim), np.float32)
             np.add.at(added, place, x[own[summed]])
