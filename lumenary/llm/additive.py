@@ -97,12 +97,12 @@ class Cells:
 
     Which cells are crowded is estimated from the codebooks' sample (`total` vectors in all), with one more than was
     seen, so that cells too rare for the sample are refined too where a collection is large. A vector goes to its best
-    cell at each step and to the others of the `probes` best that are at most `margin` times as far (squared). Cells
+    cell at each step and to the others of the `probes` best (`deeper` from the third word on) that are at most `margin` times as far (squared). Cells
     that all words together leave above `block` vectors are listed with their number of blocks.
     """
 
-    def __init__(self, aq: AdditiveQuantiser, sample: np.ndarray, total: float, most: int, block: int, probes: int = 2, margin: float = np.inf) -> None:
-        self.aq, self.probes, self.margin = aq, probes, margin
+    def __init__(self, aq: AdditiveQuantiser, sample: np.ndarray, total: float, most: int, block: int, probes: int = 2, margin: float = np.inf, deeper: int | None = None) -> None:
+        self.aq, self.probes, self.margin, self.deeper = aq, probes, margin, deeper or probes
         self.crowded: list[np.ndarray | None] = []  # by level; None: all cells
         scale = total / max(1, len(sample))
         for level in range(2, len(aq.books) + 1):
@@ -138,7 +138,7 @@ class Cells:
             rest = x[who] - self.aq.books[0][value // second] - self.aq.books[1][value % second] if rest is None else rest[on]
             book = self.aq.books[level + 2]
             d = (rest * rest).sum(axis=1)[:, None] + (book * book).sum(axis=1) - 2 * (rest @ book.T)
-            n = min(self.probes, len(book))
+            n = min(self.deeper, len(book))
             near = np.argpartition(d, n - 1, axis=1)[:, :n] if n < len(book) else np.tile(np.arange(n), (len(d), 1))
             away = np.take_along_axis(d, near, axis=1)
             keep = away <= self.margin * np.maximum(away.min(axis=1, keepdims=True, initial=np.inf), 1e-9)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lumenary.session import forget, materialise, maybe_broadcast
 
 #: Edges up to which one task does what is left (a checked bound; the result is the same but for the choice of the roots).
-ONE_TASK = 200_000
+ONE_TASK = 500_000
 
 
 def _roots(parents: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ def _name(keys: np.ndarray, cell: int) -> np.ndarray:
 
 def _first_search(df: DataFrame, dim: int, field: int, min_samples: int, epsilon: float, reach: float, per_cell: int) -> DataFrame | None:
     """_trees of the usable vectors of df; keys are key * 2 + field."""
-    cells = fit_cells(df, dim, True, per_cell, most=REFINE, block=DEALT)
+    cells = fit_cells(df, dim, True, per_cell, most=REFINE, block=DEALT, margin=np.inf, deeper=1)
     if cells is None:
         return None
 
@@ -460,13 +460,13 @@ def density_clusters(tables: list[DataFrame], dim: int = 64, min_size: int = 5,
     if not parts:
         return spark.createDataFrame([], "field int, key long, cluster long, core double")
     found = materialise(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
-    # the pieces of a vector (one a cell) are one
-    members = materialise(found.filter("kind = 0").groupBy("x").agg(F.min("y").alias("p"), F.collect_set("y").alias("all"), F.min("w").alias("core")).withColumnRenamed("x", "key"))
-    joined = components(members.filter(F.size("all") > 1).select("p", F.explode("all").alias("q")).filter("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b")))
-    member = members.join(joined.select(F.col("node").alias("p"), "root"), "p", "left").select("key", "core", F.coalesce("root", "p").alias("node"))
+    # the pieces of a vector (one a cell, two at most) are one
+    members = materialise(found.filter("kind = 0").groupBy("x").agg(F.min("y").alias("p"), F.max("y").alias("q"), F.min("w").alias("core")).withColumnRenamed("x", "key"))
+    joined = materialise(components(members.filter("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b"))))
+    member = members.join(maybe_broadcast(joined.select(F.col("node").alias("p"), "root")), "p", "left").select("key", "core", F.coalesce("root", "p").alias("node"))
     member = materialise(member)
-    small = member.groupBy("node").count().filter(F.col("count") < FEW).select("node")
-    few = materialise(member.join(small, "node").select("key", "node", "core"))
+    small = materialise(member.groupBy("node").count().filter(F.col("count") < FEW).select("node"))
+    few = materialise(member.join(maybe_broadcast(small), "node").select("key", "node", "core"))
     searched = [_rows_of(df, dim, i, maybe_broadcast(few)) for i, df in enumerate(tables)]
     searched = materialise(searched[0] if len(searched) == 1 else searched[0].unionByName(searched[1]))
     again = [p for i in range(len(tables)) if (p := _second_search(searched.filter(F.col("key") % 2 == i), dim, i, min_samples, epsilon, reach, per_second)) is not None]
@@ -476,9 +476,9 @@ def density_clusters(tables: list[DataFrame], dim: int = 64, min_size: int = 5,
         lies = second.filter("kind = 0").select(F.col("x").alias("key"), F.col("y").alias("piece"), F.col("w").alias("found"))
         lies = materialise(lies.join(few.select("key", "node"), "key").select("key", "piece", "found", "node"))
         heads = materialise(lies.groupBy("piece").agg(F.min("node").alias("root")))
-        met = components(lies.join(heads, "piece").filter("root <> node").select(F.col("root").alias("a"), F.col("node").alias("b")))
-        cores = lies.groupBy("key").agg(F.min("found").alias("found"))
-        member = member.join(met.withColumnRenamed("root", "met"), "node", "left").join(cores, "key", "left")
+        met = materialise(components(lies.join(maybe_broadcast(heads), "piece").filter("root <> node").select(F.col("root").alias("a"), F.col("node").alias("b"))))
+        cores = materialise(lies.groupBy("key").agg(F.min("found").alias("found")))
+        member = member.join(maybe_broadcast(met.withColumnRenamed("root", "met")), "node", "left").join(maybe_broadcast(cores), "key", "left")
         member = materialise(member.select("key", F.least("core", F.coalesce("found", "core")).alias("core"), F.coalesce("met", "node").alias("node")))
         joined = materialise(_compose(joined, met).unionByName(heads.select(F.col("piece").alias("node"), "root").join(met.select(F.col("node").alias("root"), F.col("root").alias("met")), "root", "left").select("node", F.coalesce("met", "root").alias("root"))))
         edges = edges.unionByName(second.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b"), "w"))
@@ -490,29 +490,28 @@ def density_clusters(tables: list[DataFrame], dim: int = 64, min_size: int = 5,
     leaves = leaf.groupBy(F.col("leaf").alias("node")).agg(F.sum("n").alias("n"), F.sum("persist").alias("persist"), F.min("core").alias("core")).filter(F.col("n") >= min_size)
     chosen = hierarchy(leaves, relabel(far, hooked, "w"), reach, contrast)
     labels = leaf.join(chosen.select(F.col("node").alias("leaf"), F.col("cluster").alias("name")), "leaf").select("node", "n", "name")
-    labels = materialise(labels.withColumn("solid", F.col("n") >= min_size))
-    solid = labels.filter("solid").select("node", "name")
+    labels = materialise(labels.select("node", "name", (F.col("n") >= min_size).alias("solid"), (F.col("n") >= FEW).alias("large")))
     # the mean of a cluster's solid pieces, or of all its vectors if it has none
-    loose = labels.join(solid.select("name").distinct(), "name", "left_anti").select("node", "name")
-    basis = materialise(solid.unionByName(loose))
-    own = materialise(member.join(basis, "node").select("key", "core", "name", "node"))
-    large = nodes.filter(F.col("n") >= FEW).select("node")
-    sums = found.filter("kind = 2").select(F.col("x").alias("p"), "total").join(joined.select(F.col("node").alias("p"), "root"), "p", "left").select(F.coalesce("root", "p").alias("node"), "total")
-    sums = sums.join(basis, "node").join(large, "node").select("name", "total")
-    in_few = searched.select("key", "small").join(own.join(large, "node", "left_anti").select("key", "name"), "key")
-    means = materialise(_means(sums.unionByName(_sums(in_few, dim)), dim))
+    loose = labels.groupBy("name").agg(F.max("solid").alias("any")).filter("not any").select("name", F.lit(True).alias("loose"))
+    own = materialise(member.join(maybe_broadcast(labels), "node").select("key", "core", "name", "solid", "large"))
+    sums = found.filter("kind = 2").select(F.col("x").alias("p"), "total").join(maybe_broadcast(joined.select(F.col("node").alias("p"), "root")), "p", "left").select(F.coalesce("root", "p").alias("node"), "total")
+    sums = sums.join(maybe_broadcast(labels.filter("large").select("node", "name")), "node").select("name", "total")
+    in_few = own.filter("not large").join(maybe_broadcast(materialise(loose)), "name", "left").filter("solid or loose").select("key", "name")
+    means = materialise(_means(sums.unionByName(_sums(searched.select("key", "small").join(in_few, "key"), dim)), dim))
     # a cluster of small pieces whose mean is within epsilon of a larger one's is part of it (its vectors shared no cell with the rest)
-    wide = basis.join(large, "node").select("name").distinct()
+    wide = materialise(labels.filter("large").select("name").distinct())
     merged = _nearest_mean(_bytes_of(means.join(wide, "name", "left_anti"), dim), means.join(wide, "name"), dim, epsilon)
     merged = materialise(merged.select(F.col("key").alias("name"), F.col("name").alias("into")))
-    member_of = own.join(solid.select("node").distinct(), "node", "left_semi").select("key", "core", "name")
-    left = materialise(searched.select("key", "small").join(member_of.select("key"), "key", "left_anti"))
+    member_of = own.filter("solid").select("key", "core", "name")
+    left = materialise(searched.select("key", "small", "core").join(own.filter("solid and not large").select("key"), "key", "left_anti"))
     near = _nearest_mean(left, means, dim, epsilon)
-    out = member_of.unionByName(near.join(member.select("key", "core"), "key").select("key", "core", "name")).join(merged, "name", "left")
+    near = near.join(left.select("key", "core"), "key")
+    near = near.join(maybe_broadcast(cores), "key", "left").withColumn("core", F.least("core", F.coalesce("found", "core"))) if again else near
+    out = member_of.unionByName(near.select("key", "core", "name")).join(maybe_broadcast(merged), "name", "left")
     out = materialise(out.select("key", "core", F.coalesce("into", "name").alias("name")))
     # a vector that joined late may have the smallest key of its cluster
     named = out.groupBy("name").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_size)
-    out = materialise(out.join(named, "name").select((F.col("key") % 2).cast("int").alias("field"), F.expr("key div 2").alias("key"), F.expr("least div 2").alias("cluster"), "core"))
+    out = materialise(out.join(maybe_broadcast(materialise(named)), "name").select((F.col("key") % 2).cast("int").alias("field"), F.expr("key div 2").alias("key"), F.expr("least div 2").alias("cluster"), "core"))
     for used in (found, searched, left, member, members):
         forget(used)
     return out
