@@ -3,34 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil, sqrt
 
 import numpy as np
 
-from lumenary.descriptors import area_resize, register
-
-
-def blur(m: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    """The image convolved with a symmetric kernel along both axes; borders are mirrored without repeating the edge."""
-    half = len(kernel) // 2
-    for _ in range(2):
-        at = np.abs(np.arange(-half, len(m) + half))
-        last = max(1, len(m) - 1)
-        at = last - np.abs(last - at % (2 * last)) if len(m) > 1 else np.zeros_like(at)
-        sums = np.cumsum(np.vstack([np.zeros((1, m.shape[1])), m[at]]), axis=0) if np.ptp(kernel) == 0 else None
-        if sums is not None:
-            m = (sums[len(kernel) :] - sums[: -len(kernel)]) * kernel[0]
-        else:
-            padded, n = m[at], len(m)
-            m = sum(w * padded[i : i + n] for i, w in enumerate(kernel))
-        m = m.T
-    return m
-
-
-def gaussian(size: int, sigma: float) -> np.ndarray:
-    x = np.arange(size) - (size - 1) / 2
-    k = np.exp(-x * x / (2 * sigma * sigma))
-    return k / k.sum()
+from lumenary.descriptors import luminance, register, scaled_to
+from lumenary.descriptors.local import blur, gaussian, local_histograms
+from lumenary.descriptors.samplers import sample
 
 
 def gradients(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,13 +18,6 @@ def gradients(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return across[:-2] + 2 * across[1:-1] + across[2:], down[:, :-2] + 2 * down[:, 1:-1] + down[:, 2:]
 
 
-def grid(n: int, width: int, height: int) -> np.ndarray:
-    """ceil(sqrt(n))^2 whole-pixel points inside the image, x-major."""
-    side = ceil(sqrt(n))
-    x, y = (np.floor(np.arange(1, side + 1) * (size / (side + 1))).astype(int) for size in (width, height))
-    return np.stack([np.repeat(x, side), np.tile(y, side)], axis=1)
-
-
 @register("shog")
 @dataclass
 class Shog:
@@ -61,35 +32,15 @@ class Shog:
     feature_size: float = 0.125
     tiles: int = 4
     smooth_hist: bool = True
-    num_samples: int = 625
+    sampler: str = "grid"
+    num_samples: int | None = None
 
     schema = "features array<array<float>>, positions array<array<float>>, numfeatures int"
 
     def compute(self, image: np.ndarray) -> dict:
-        scale = self.image_width / max(image.shape[:2])
-        height, width = (max(1, round(s * scale)) for s in image.shape[:2])
-        grey = np.rint(area_resize(image @ np.array([0.114, 0.587, 0.299])[:, None], width, height)[:, :, 0])
-        points = grid(self.num_samples, width, height)
-        tile = -(-int(sqrt(width * height * self.feature_size)) // self.tiles)
-        size = tile * self.tiles
-        energy = np.pad(self._energy(grey), ((0, 0), (tile, tile), (tile, tile)))
-        kernel = gaussian(2 * tile + 1, tile / 3) if self.smooth_hist else np.full(tile | 1, 1 / (tile | 1))
-        energy = np.stack([blur(e, kernel) for e in energy])
-
-        corner = points - size // 2
-        ink = np.pad(np.cumsum(np.cumsum(255 - grey, axis=0), axis=1), ((1, 0), (1, 0)))
-        limit = np.array([width, height])
-        (x0, y0), (x1, y1) = np.clip(corner, 0, limit).T, np.clip(corner + size, 0, limit).T
-        drawn = ink[y1, x1] - ink[y0, x1] - ink[y1, x0] + ink[y0, x0] > 0
-        points, corner = points[drawn], corner[drawn]
-
-        centers = np.floor(corner[:, :, None] + tile + tile / 2 + tile * np.arange(self.tiles)).astype(int)
-        x, y = centers[:, 0][:, None, :], centers[:, 1][:, :, None]
-        inside = (x >= 0) & (y >= 0) & (x < energy.shape[2]) & (y < energy.shape[1])
-        read = energy[:, np.clip(y, 0, energy.shape[1] - 1), np.clip(x, 0, energy.shape[2] - 1)] * inside
-        features = np.moveaxis(read, 0, -1).reshape(len(points), self.tiles * self.tiles * self.num_orients)
-        features /= np.sqrt((features**2).sum(axis=1, keepdims=True)) + np.finfo(np.float32).eps
-        return {"features": features.astype(np.float32).tolist(), "positions": (points / limit).astype(np.float32).tolist(), "numfeatures": len(points)}
+        grey = scaled_to(luminance(image), self.image_width, self.image_width)
+        points = sample(self.sampler, grey.shape[1], grey.shape[0], self.num_samples)
+        return local_histograms(self._energy(grey), grey, points, self.tiles, self.feature_size, self.smooth_hist)
 
     def _energy(self, grey: np.ndarray) -> np.ndarray:
         """[orientation, y, x]: gradient magnitude by orientation of the line, in [0, pi)."""

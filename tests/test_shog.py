@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lumenary import descriptors
-from lumenary.descriptors import shog
+from lumenary.descriptors import local, shog
 
 
 def drawing(vertical):
@@ -14,8 +14,8 @@ def drawing(vertical):
 
 
 def test_blur_and_gradients_of_simple_images():
-    assert shog.blur(np.full((9, 5), 3.0), shog.gaussian(7, 2.0)) == pytest.approx(np.full((9, 5), 3.0))
-    assert shog.blur(np.arange(9.0)[:, None] * np.ones(6), np.full(3, 1 / 3))[1:-1] == pytest.approx((np.arange(9.0)[:, None] * np.ones(6))[1:-1])
+    assert local.blur(np.full((9, 5), 3.0), local.gaussian(7, 2.0)) == pytest.approx(np.full((9, 5), 3.0))
+    assert local.blur(np.arange(9.0)[:, None] * np.ones(6), np.full(3, 1 / 3))[1:-1] == pytest.approx((np.arange(9.0)[:, None] * np.ones(6))[1:-1])
     gx, gy = shog.gradients(np.arange(5.0) * np.ones((4, 1)))
     assert (gx[:, 1:-1] == 8).all()
     assert (gy == 0).all()
@@ -40,6 +40,6 @@ def test_features_are_unit_and_turn_with_the_drawing():
 
 
 def test_energy_is_the_gradient():
-    m = np.rint(shog.blur(drawing(True)[:, :, 0].astype(float), shog.gaussian(7, 2.0)))
+    m = np.rint(local.blur(drawing(True)[:, :, 0].astype(float), local.gaussian(7, 2.0)))
     gx, gy = shog.gradients(m)
     assert descriptors.create("shog")._energy(drawing(True)[:, :, 0].astype(float)).sum(axis=0) == pytest.approx(np.hypot(gx, gy))
