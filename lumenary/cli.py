@@ -44,15 +44,18 @@ def compute_descriptors(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.action == "list":
         print("\n".join(sorted(descriptors.GENERATORS)))
         return
-    parameters = pairs(a.parameter)
+    name, parameters = descriptors.read_parameters(a.parameters) if a.parameters else (None, {})
+    name, parameters = a.generator or name or "tinyimage", parameters | pairs(a.parameter)
+    effective = descriptors.parameters_json(name, descriptors.create(name, **parameters))
     if a.action == "info":
-        print(descriptors.parameters_json(a.generator, descriptors.create(a.generator, **parameters)))
+        print(effective)
         return
     images = spark.read.format("image").option("recursiveFileLookup", "true").load(a.root)
-    base = F.lit(a.root.rstrip("/") + "/")
-    images = images.withColumn("rel_path", F.substring_index("image.origin", base, -1))
+    images = images.withColumn("rel_path", F.substring_index("image.origin", a.root.rstrip("/") + "/", -1))
     keyed = images.join(spark.read.parquet(a.files).select("image_id", "rel_path"), "rel_path")
-    descriptors.compute_descriptors(keyed, a.generator, **parameters).write.mode("overwrite").parquet(a.output)
+    descriptors.compute_descriptors(keyed, name, **parameters).write.mode("overwrite").parquet(a.output)
+    # beside the data: one line of JSON with all parameters, those by default too
+    spark.createDataFrame([(effective,)], "value string").coalesce(1).write.mode("overwrite").text(a.output.rstrip("/") + ".parameters")
 
 
 def local_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +68,7 @@ def local_rows(spark: SparkSession, path: str) -> DataFrame:
 def compute_vocabulary(spark: SparkSession, a: argparse.Namespace) -> None:
     features = local_rows(spark, a.descriptors).select(F.concat_ws(":", "image_id", "n").alias("key"), F.col("feature").alias("vector"))
     ids = features.select(F.xxhash64("key").alias("key"), "vector")
-    words = kmeans.compute_vocabulary(ids, a.clusters, a.samples, a.seed, max_iterations=a.max_iterations, min_changes=a.min_changes)
+    words = kmeans.compute_vocabulary(ids, a.clusters, a.samples, a.seed, max_iterations=a.max_iterations, min_changes=a.min_changes, distance=a.distance, init=a.init)
     words.write.mode("overwrite").parquet(a.output)
 
 
@@ -87,14 +90,36 @@ def compute_index(spark: SparkSession, a: argparse.Namespace) -> None:
     index.apply_tfidf(index.build_index(rows, docs), *a.tfidf).save(a.output)
 
 
+def query_features(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """The row of features (and positions) of the image file given as query."""
+    name, parameters = descriptors.read_parameters(a.parameters) if a.parameters else (None, {})
+    images = spark.read.format("image").load(a.query_image).withColumn("image_id", F.lit(0).cast("long"))
+    return descriptors.compute_descriptors(images, a.generator or name or "tinyimage", **(parameters | pairs(a.parameter)))
+
+
 def image_search(spark: SparkSession, a: argparse.Namespace) -> None:
+    if (a.image is None) == (a.query_image is None):
+        raise SystemExit("one of --image and --query-image is needed")
+    if a.query_image is None and a.query is None:
+        raise SystemExit("--image needs --query")
     if a.index:
         ix = index.InvertedIndex.load(spark, a.index)
-        q = spark.read.parquet(a.query).filter(F.col("image_id") == a.image).select(F.col("bin").alias("term_id"), "f")
-        found = index.query_index(ix, q, a.k, *a.tfidf).withColumnRenamed("doc_id", "key")
+        if a.query_image is not None:
+            if a.vocabulary is None:
+                raise SystemExit("a query image needs --vocabulary to be searched in an index")
+            words = spark.read.parquet(a.vocabulary)
+            dim = words.select(F.size("center")).first()[0]
+            rows = quantise.feature_rows(query_features(spark, a), dim)
+            bins = quantise.histograms(quantise.quantise_hard(rows, words, ["image_id", "n", "x", "y"]), words.count(), a.levels)
+        else:
+            bins = spark.read.parquet(a.query).filter(F.col("image_id") == a.image)
+        found = index.query_index(ix, bins.select(F.col("bin").alias("term_id"), "f"), a.k, *a.tfidf).withColumnRenamed("doc_id", "key")
     else:
+        if a.query is None:
+            raise SystemExit("a search without an index needs --query, the table of features")
         base = spark.read.parquet(a.query).select(F.col("image_id").alias("key"), F.col("features").alias("vector"))
-        found = search.linear_search(base, base.filter(F.col("key") == a.image), a.k, a.distance)
+        one = query_features(spark, a).select(F.col("features").alias("vector")) if a.query_image is not None else base.filter(F.col("key") == a.image)
+        found = search.linear_search(base, one, a.k, a.distance)
     if a.files:
         one = spark.read.parquet(a.files).withColumn("_r", F.row_number().over(Window.partitionBy("image_id").orderBy("rel_path"))).filter("_r = 1")
         found = search.with_filenames(found, one, "key", "image_id")
@@ -117,11 +142,12 @@ def parser() -> argparse.ArgumentParser:
     number, real, names = {"type": int}, {"type": float}, {"nargs": 2, "default": ["lucene", "lucene"], "metavar": ("TF", "IDF")}
     command(generate_filelist, "root", "output", glob={"action": "append"}, sample=number, seed=number | {"default": 0})
     command(generate_mapping, "views", "models", "output")
-    command(compute_descriptors, action={"choices": ["compute", "info", "list"], "default": "compute"}, generator={"default": "tinyimage"}, root={}, files={}, output={}, parameter={"action": "append", "default": [], "metavar": "K=V"})
-    command(compute_vocabulary, "descriptors", "output", clusters=number | {"required": True}, samples=number, seed=number | {"default": 0}, max_iterations=number | {"default": 20}, min_changes=real | {"default": 0.01})
+    command(compute_descriptors, action={"choices": ["compute", "info", "list"], "default": "compute"}, generator={}, parameters={"metavar": "JSON"}, root={}, files={}, output={}, parameter={"action": "append", "default": [], "metavar": "K=V"})
+    command(compute_vocabulary, "descriptors", "output", clusters=number | {"required": True}, samples=number, seed=number | {"default": 0}, max_iterations=number | {"default": 20}, min_changes=real | {"default": 0.01}, distance={"default": "l2norm_squared"}, init={"choices": ["random", "plusplus"], "default": "random"})
     command(compute_histvw, "descriptors", "vocabulary", "output", quantization={"choices": ["hard", "fuzzy"], "default": "hard"}, sigma=real, levels=number | {"default": 1})
     command(compute_index, "histograms", "output", files={}, tfidf=names)
-    command(image_search, "query", image=number | {"required": True}, index={}, files={}, k=number | {"default": 20}, distance={"default": "l2norm"}, tfidf=names)
+    image = {"query_image": {}, "generator": {}, "parameters": {"metavar": "JSON"}, "parameter": {"action": "append", "default": [], "metavar": "K=V"}, "vocabulary": {}, "levels": number | {"default": 1}}
+    command(image_search, query={}, image=number, **image, index={}, files={}, k=number | {"default": 20}, distance={"default": "l2norm"}, tfidf=names)
     return p
 
 

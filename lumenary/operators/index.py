@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenary.functions.weighting import make_idf, make_tf
-from lumenary.operators.search import DECIMALS
+from lumenary.operators.search import DECIMALS, ranked
+from lumenary.session import maybe_broadcast
 
 
 def sparse(histograms: DataFrame, doc: str = "doc_id", histogram: str = "histogram") -> DataFrame:
@@ -98,10 +99,29 @@ def query_index(index: InvertedIndex, query: DataFrame, k: int, tf: str = "lucen
     """(rank, score, doc_id): the k documents of greatest cosine with the query (term_id, f); ties go to the higher doc_id.
 
     Documents that share no term have score 0 and are part of the result. `index` must have weights.
-    The query's terms are one query's, hence few; they are broadcast to the postings. Scores are rounded to 9 decimals.
+    The query's terms are broadcast to the postings if a count proves them few. Scores are rounded to 9 decimals.
     """
-    q = F.broadcast(query_weights(index, query, tf, idf).withColumnRenamed("w", "_q"))
+    q = maybe_broadcast(query_weights(index, query, tf, idf).withColumnRenamed("w", "_q"))
     scores = index.postings.join(q, "term_id").groupBy("doc_id").agg(F.sum(F.col("w") * F.col("_q")).alias("s"))
     every = index.doc_stats.select("doc_id").join(scores, "doc_id", "left").select(F.round(F.coalesce("s", F.lit(0.0)), DECIMALS).alias("score"), "doc_id")
-    top = every.orderBy(F.col("score").desc(), F.col("doc_id").desc()).limit(max(0, k))
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("doc_id").desc()))).select("rank", "score", "doc_id")
+    return ranked(every, k, F.col("score").desc(), F.col("doc_id").desc()).select("rank", "score", "doc_id")
+
+
+def query_index_batched(index: InvertedIndex, queries: DataFrame, k: int, tf: str = "lucene", idf: str = "lucene") -> DataFrame:
+    """(query, rank, score, doc_id): as query_index for each query of `queries` (query, term_id, f), but only documents that share a term have rows.
+
+    One join of all queries' terms with the postings; scores are added up before the top k of a query is taken.
+    """
+    t, i = make_tf(tf), make_idf(idf)
+    q = queries.filter("f <> 0").select("query", "term_id", F.col("f").cast("double").alias("f"))
+    size = q.groupBy("query").agg(F.sum("f").alias("doc_size"))
+    q = q.join(size, "query").join(index.term_stats, "term_id", "left").crossJoin(F.broadcast(index.meta.select("n_docs")))  # one row
+    w = t(F.col("f"), F.col("doc_size")) * i(F.col("n_docs"), F.coalesce("doc_freq", F.lit(0)), F.coalesce("coll_freq", F.lit(0.0)))
+    q = q.select("query", "term_id", F.when(F.isnan(w) | w.isNull(), 0.0).otherwise(w).alias("_w"), F.col("doc_freq").isNull().alias("_unknown"))
+    about = q.groupBy("query").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"), F.max("_unknown").alias("_spoilt"))
+    if idf in ("simple", "video_google"):
+        about = about.withColumn("_norm", F.when(F.col("_spoilt"), float("inf")).otherwise(F.col("_norm")))
+    q = q.join(about.filter("_norm > 0"), "query").select("query", "term_id", (F.col("_w") / F.col("_norm")).alias("_q"))
+    scores = index.postings.join(maybe_broadcast(q), "term_id").groupBy("query", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("_q")), DECIMALS).alias("score"))
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc_id").desc())
+    return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query", "rank", "score", "doc_id")

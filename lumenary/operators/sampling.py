@@ -22,9 +22,10 @@ def list_files(spark: SparkSession, root: str, globs: list[str] | None = None) -
     return ordinal(files.select(rel.alias("rel_path")), "rel_path", "image_id")
 
 
-def ordinal(df: DataFrame, order: str, name: str) -> DataFrame:
+def ordinal(df: DataFrame, order: str | list[Column], name: str) -> DataFrame:
     """df with 0-based positions in the order of `order`: a range sort, one count a partition, then a running offset."""
-    parts = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    by = [F.col(order)] if isinstance(order, str) else order
+    parts = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))  # one row a partition

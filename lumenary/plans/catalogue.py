@@ -246,6 +246,29 @@ def bof_text(spark: SparkSession, folder: str) -> DataFrame:
     return index.query_index(weighted, index.tokens(item).select("term_id", "f"), 50)
 
 
+@query(f"""WITH {_weights_sql("lucene", "lucene")},
+q0 AS (SELECT doc_id AS query, term_id, w AS qw FROM w WHERE doc_id % 50 = 0),
+s AS (SELECT query, doc_id, round(sum(w * qw), 9) AS score FROM w JOIN q0 USING (term_id) GROUP BY ALL),
+r AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id DESC) AS INTEGER) AS rank, score, doc_id FROM s)
+SELECT query, rank, score, doc_id FROM r WHERE rank <= 20""")
+def bof_batched(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 documents most similar to each whose id is divisible by 50, all in one join."""
+    p, docs = _postings(spark, folder)
+    p = materialise(p)
+    weighted = index.apply_tfidf(index.build_index(p, docs))
+    return index.query_index_batched(weighted, p.filter("doc_id % 50 = 0").withColumnRenamed("doc_id", "query"), 20)
+
+
+@query(f"""
+WITH e AS ({_P}), n AS (SELECT q.key AS query, round({_DISTANCE_SQL['chi2'][1]}, 9) AS distance, b.key FROM e b, (SELECT * FROM e WHERE key % 50 = 0) q),
+r AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, key) AS INTEGER) AS rank, distance, key FROM n)
+SELECT query, rank, distance, key FROM r WHERE rank <= 10""")
+def knn_batched_chi2(spark: SparkSession, folder: str) -> DataFrame:
+    """As knn_batched_topk, by another distance."""
+    base = _vectors(spark, folder, True)
+    return search.batched_search(base, base.filter("key % 50 = 0").select(F.col("key").alias("query"), "vector"), 10, "chi2")
+
+
 # Quantisation of galif features by the given vocabulary.
 
 _FEATURES = """
@@ -376,6 +399,19 @@ def kmeanspp_potential(spark: SparkSession, folder: str) -> DataFrame:
     return kmeans.potential(v, centers).select(F.round("potential", 6).alias("potential"))
 
 
+_KM3 = f"""{_KM2}, c2 AS (SELECT cluster, list(m ORDER BY i) AS c FROM (SELECT cluster, i, avg(x) AS m FROM (SELECT cluster, unnest(v) AS x, unnest(range(0, 64)) AS i FROM a1) GROUP BY ALL) GROUP BY cluster),
+a2 AS (SELECT key, cluster FROM (SELECT key, cluster, row_number() OVER (PARTITION BY key ORDER BY d, cluster) AS r FROM
+  (SELECT key, cluster, round(list_sum(list_transform(list_zip(v, c), lambda t: (t[1]-t[2])*(t[1]-t[2]))), 9) AS d FROM e, c2)) WHERE r = 1)"""
+
+
+@query(f"WITH {_KM3} SELECT key, CAST(cluster AS INTEGER) AS cluster FROM a2")
+def kmeans_three_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """The loop itself with fixed centers and three rounds."""
+    v = _vectors(spark, folder)
+    centers = [r.vector for r in v.filter("key < 8").orderBy("key").collect()]
+    return kmeans.kmeans(v, 8, max_iterations=3, min_changes=0, centers=centers)[1]
+
+
 @query()
 def kmeans_full(spark: SparkSession, folder: str) -> DataFrame:
     """The whole loop; its rules are tested against a second implementation."""

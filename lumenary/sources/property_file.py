@@ -8,12 +8,16 @@ string has an int32 length, vectors, maps and sets an int64 length.
 from __future__ import annotations
 
 import io
+import os
+import shutil
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from decimal import Decimal
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 # Type names of the format, their NumPy codes and the Spark types that hold them.
 NUMBERS = {
@@ -28,7 +32,7 @@ NUMBERS = {
     "float": ("f4", "float"),
     "double": ("f8", "double"),
 }
-STRING, FLOATS, PLACES = "std::string", "std::vector<float>", "std::vector<int64_t>"
+STRING = "std::string"
 #: Elements a partition reads.
 PART = 50_000
 
@@ -108,8 +112,8 @@ def write_value(f: io.BufferedIOBase, kind: tuple[str, list], value: object) ->
                 write_value(f, parts[0], v)
 
 
-def _tail(path: str, given: str | None = None) -> tuple[tuple[str, list], np.ndarray]:
-    """(type, offsets) from the end of a file. Version 1 files have no type name: it must be given; a given name must match that of a version 2 file."""
+def _tail(path: str, given: str | None = None) -> tuple[tuple[str, list], int, int]:
+    """(type, place of the first offset, number of offsets) from the end of a file. Version 1 files have no type name: it must be given; a given name must match that of a version 2 file."""
     with open(path, "rb") as f:
         f.seek(-8, io.SEEK_END)
         f.seek(_number(f, "<q"))
@@ -120,13 +124,14 @@ def _tail(path: str, given: str | None = None) -> tuple[tuple[str, list], np.nda
         name = meta.get("__typeinfo") if version == "2" else given
         if not name or given not in (None, name):
             raise ValueError(f"{path} holds elements of type {name!r}; asked for {given!r}")
-        f.seek(int(meta["__offsets"]))
-        return parse(name), np.array(read_value(f, parse(PLACES)), np.int64)
+        at = int(meta["__offsets"])
+        f.seek(at)
+        return parse(name), at + 8, _number(f, "<q")
 
 
 class _Part(InputPartition):
-    def __init__(self, start: int, offsets: list[int]) -> None:
-        self.start, self.offsets = start, offsets
+    def __init__(self, start: int, count: int) -> None:
+        self.start, self.count = start, count
 
 
 class _Reader(DataSourceReader):
@@ -134,20 +139,72 @@ class _Reader(DataSourceReader):
         self.path, self.given = path, given
 
     def partitions(self) -> list[_Part]:
-        _, offsets = _tail(self.path, self.given)
-        return [_Part(i, offsets[i : i + PART].tolist()) for i in range(0, len(offsets), PART)] or [_Part(0, [])]
+        n = _tail(self.path, self.given)[2]
+        return [_Part(i, min(PART, n - i)) for i in range(0, n, PART)] or [_Part(0, 0)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        kind, _ = _tail(self.path, self.given)
+        """The rows of a range of positions; of the offsets only the range's own are read."""
+        kind, first, _ = _tail(self.path, self.given)
         with open(self.path, "rb") as f:
-            for i, at in enumerate(partition.offsets):
+            f.seek(first + 8 * partition.start)
+            offsets = np.frombuffer(f.read(8 * partition.count), "<i8").tolist()
+            for i, at in enumerate(offsets):
                 if at >= 0:  # positions that were never written have no row
                     f.seek(at)
                     yield partition.start + i, read_value(f, kind)
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    path: str
+    idx: np.ndarray
+    offsets: np.ndarray
+
+
+class _Writer(DataSourceWriter):
+    """Each task writes its elements to a file of its own beside the path; the commit appends these files and adds the offsets."""
+
+    def __init__(self, path: str, name: str) -> None:
+        parse(name)
+        self.path, self.name = path, name
+
+    def write(self, rows: Iterator) -> _Written:
+        part, kind = f"{self.path}.{uuid.uuid4().hex}.part", parse(self.name)
+        idx, offsets = [], []
+        with open(part, "wb") as f:
+            for r in rows:
+                idx.append(r["idx"])
+                offsets.append(f.tell())
+                write_value(f, kind, r["value"])
+        return _Written(part, np.array(idx, np.int64), np.array(offsets, np.int64))
+
+    def commit(self, messages: list) -> None:
+        done = [m for m in messages if m is not None]
+        try:
+            every = np.concatenate([np.empty(0, np.int64), *(m.idx for m in done)])
+            if len(np.unique(every)) < len(every):
+                raise ValueError("a position is written twice")
+            offsets = np.full(int(every.max()) + 1 if len(every) else 0, -1, np.int64)
+            with open(f"{self.path}.whole", "wb") as f:
+                for m in done:
+                    offsets[m.idx] = m.offsets + f.tell()
+                    with open(m.path, "rb") as g:
+                        shutil.copyfileobj(g, f, 1 << 22)
+                _finish(f, offsets, self.name)
+            os.replace(f"{self.path}.whole", self.path)
+        finally:
+            self.abort(done)
+
+    def abort(self, messages: list) -> None:
+        for m in messages:
+            if m is not None and os.path.exists(m.path):
+                os.remove(m.path)
+
+
 class PropertyFile(DataSource):
-    """spark.read.format("propfile").load(path) -> (idx BIGINT, value). Register with spark.dataSource.register(PropertyFile).
+    """spark.read.format("propfile").load(path) -> (idx BIGINT, value); rows (idx, value) are written by format("propfile").option("type", ...).save(path).
+
+    Register with spark.dataSource.register(PropertyFile).
 
     The path is a local or mounted file that all executors see; elements are read by offset ranges in parallel. The option
     `type` names the elements' type: needed for version 1 files, checked against version 2 files.
@@ -163,13 +220,30 @@ class PropertyFile(DataSource):
     def reader(self, schema: object) -> _Reader:
         return _Reader(self.options["path"], self.options.get("type"))
 
+    def writer(self, schema: object, overwrite: bool) -> _Writer:
+        """Needs the option `type`; positions come in any order, once each, and gaps are kept. Appending is not possible."""
+        if "type" not in self.options:
+            raise ValueError("the option `type` must name the elements' type")
+        if not overwrite and os.path.exists(self.options["path"]):
+            raise ValueError("a property file can't be appended to")
+        return _Writer(self.options["path"], self.options["type"])
+
+
+def _finish(f: io.BufferedIOBase, offsets: np.ndarray, name: str) -> None:
+    """The offsets, the map of strings and its position, at the end of the elements."""
+    at, text = f.tell(), parse(STRING)
+    f.write(struct.pack("<q", len(offsets)) + np.asarray(offsets, "<i8").tobytes())
+    end = f.tell()
+    write_value(f, ("map", [text, text]), {"__features": "0", "__offsets": str(at), "__typeinfo": name, "__version": "2"})
+    f.write(struct.pack("<q", end))
+
 
 def write_property_file(rows: Iterator[tuple[int, object]], path: str, name: str) -> int:
     """Write (idx, value) rows, ascending by idx, one after another; gaps get offset -1. Returns the number of positions.
 
     For a DataFrame: write_property_file(df.orderBy("idx").toLocalIterator(), path, "std::vector<float>").
     """
-    kind, text = parse(name), parse(STRING)
+    kind = parse(name)
     offsets: list[int] = []
     with open(path, "wb") as f:
         for idx, value in rows:
@@ -177,10 +251,5 @@ def write_property_file(rows: Iterator[tuple[int, object]], path: str, name: str
                 raise ValueError("rows must come by ascending, different idx")
             offsets += [-1] * (idx - len(offsets)) + [f.tell()]
             write_value(f, kind, value)
-        at = f.tell()
-        write_value(f, parse(PLACES), offsets)
-        end = f.tell()
-        meta = {"__features": "0", "__offsets": str(at), "__typeinfo": name, "__version": "2"}
-        write_value(f, ("map", [text, text]), meta)
-        f.write(struct.pack("<q", end))
+        _finish(f, np.array(offsets, np.int64), name)
     return len(offsets)

@@ -63,7 +63,7 @@ def test_tinyimage(spark, tmp_path):
     png(tmp_path / "a.png", [[(255, 0, 0), (0, 255, 0)], [(0, 0, 255), (255, 255, 255)]])
     (tmp_path / "b.png").write_bytes(b"no image")
     images = spark.read.format("image").load(str(tmp_path)).withColumn("image_id", F.when(F.col("image.origin").endswith("a.png"), 0).otherwise(1))
-    got = {r.image_id: r.features for r in descriptors.compute_descriptors(images, "tinyimage", width=2, height=2).collect()}
+    got = {r.image_id: r.features for r in descriptors.compute_descriptors(images, "tinyimage", width=2, height=2, colorspace="rgb").collect()}
     assert got == {0: [0, 0, 1, 0, 1, 0, 1, 0, 0, 1, 1, 1], 1: None}
     one = {r.image_id: r.features for r in descriptors.compute_descriptors(images, "tinyimage", width=1, height=1, colorspace="grey").collect()}
     assert one[0] == pytest.approx([0.5])
@@ -88,3 +88,27 @@ def test_stream_equals_one_search(spark, tmp_path):
     assert run.awaitTermination(120)
     want = search.linear_search(rows, q, 7, "l2norm").collect()
     assert sorted(topk.current(run, rows, out).collect()) == sorted(want)
+
+
+def test_property_files_written_by_spark(spark, tmp_path):
+    spark.dataSource.register(pf.PropertyFile)
+    path = str(tmp_path / "out.prop")
+    rows = [(i, [float(i), i / 2]) for i in range(40) if i % 7]
+    df = spark.createDataFrame(rows, "idx long, value array<float>").repartition(5)
+    df.write.format("propfile").option("type", "std::vector<float>").mode("overwrite").save(path)
+    assert sorted((r.idx, r.value) for r in spark.read.format("propfile").load(path).collect()) == rows
+    assert [p.name for p in tmp_path.iterdir()] == ["out.prop"]
+    twice = df.unionByName(df)
+    with pytest.raises(Exception, match="twice"):
+        twice.write.format("propfile").option("type", "std::vector<float>").mode("overwrite").save(path)
+
+
+def test_a_partition_reads_its_own_offsets(spark, tmp_path, monkeypatch):
+
+    path = str(tmp_path / "x.prop")
+    pf.write_property_file(iter([(i, [float(i)]) for i in range(0, 25, 2)]), path, "std::vector<float>")
+    monkeypatch.setattr(pf, "PART", 4)
+    reader = pf._Reader(path, None)
+    parts = reader.partitions()
+    assert [(p.start, p.count) for p in parts] == [(0, 4), (4, 4), (8, 4), (12, 4), (16, 4), (20, 4), (24, 1)]
+    assert [x for p in parts for x in reader.read(p)] == [(i, [float(i)]) for i in range(0, 25, 2)]
