@@ -3,7 +3,7 @@
 Steps: (1) cells of similar vectors (additive-quantisation prefixes, crowded ones refined by further words; every vector
 in several) give each vector's neighbours; within a cell the minimum spanning tree of the mutual reachability distances is
 built, its edges up to `epsilon` are contracted, and the longer ones up to `reach` kept. (2) What lies in no piece of FEW
-members is searched once more in cells fitted to its like, where small groups that the first cells parted meet.
+members and not within `epsilon` of the mean of one is searched once more in cells fitted to its like, where small groups that the first cells parted meet.
 (3) Distributed Borůvka rounds join pieces of under `min_size` members along their lightest edges, at any density, to the
 leaves of the condensed hierarchy. (4) The hierarchy of the leaves is built in Borůvka rounds and cut where the stability is
 greatest. (5) The vectors of small pieces belong to the cluster whose mean is nearest, if that is within `epsilon`. (6) The
@@ -33,44 +33,47 @@ from lumenary.vectors import fixed_binary, from_binary, unit
 
 #: Members from which a piece is not searched again; rows of a cell above which it is refined, and above which (where no word is left) it is dealt to
 #: blocks by a hash; rows of a tree at most; leaves' edges up to which one task builds their hierarchy; means up to which all go to every worker.
-FEW, REFINE, DEALT, TREE, ONE_TASK, MEANS = 128, 2048, 4096, 6144, 200_000, 20_000
+FEW, REFINE, DEALT, TREE, ONE_TASK, MEANS = 64, 2048, 4096, 6144, 200_000, 20_000
 
 
-def local_tree(x: np.ndarray, min_samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(core distances, a, b, w): the minimum spanning tree of the mutual reachability distances 1 - cosine of unit rows (Prim)."""
+def local_tree(x: np.ndarray, min_samples: int, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(core distances, pieces, a, b, w) of unit rows: each row's piece (its smallest row) when all mutual reachability distances 1 - cosine up to
+    epsilon are contracted, and the edges (between rows of different pieces) of the minimum spanning tree of the pieces (Prim)."""
     n = len(x)
     d = np.maximum(1 - x @ x.T, 0)
     k = min(min_samples - 1, n - 1)
     core = np.partition(d, k, axis=1)[:, k] if n >= min_samples else np.full(n, 2, d.dtype)
     np.maximum(d, core, out=d)
     np.maximum(d, core[:, None], out=d)
-    best, via, out = d[0].copy(), np.zeros(n, np.int64), np.ones(n, bool)
+    close = d <= epsilon
+    np.fill_diagonal(close, True)
+    piece = np.arange(n)
+    while True:
+        low = np.where(close, piece[None, :], n).min(axis=1)
+        low = np.minimum(low, low[low])
+        if (low == piece).all():
+            break
+        piece = low
+    order = np.argsort(piece, kind="stable")
+    heads, starts = np.unique(piece[order], return_index=True)
+    m = len(heads)
+    if m == 1:
+        none = np.empty(0, np.int64)
+        return core, piece, none, none, np.empty(0)
+    if m < n:
+        d = np.minimum.reduceat(np.minimum.reduceat(d[np.ix_(order, order)], starts, axis=0), starts, axis=1)
+    best, via, out = d[0].copy(), np.zeros(m, np.int64), np.ones(m, bool)
     out[0] = False
     best[0] = np.inf
-    a, b, w = np.empty(n - 1, np.int64), np.empty(n - 1, np.int64), np.empty(n - 1)
-    for i in range(n - 1):
+    a, b, w = np.empty(m - 1, np.int64), np.empty(m - 1, np.int64), np.empty(m - 1)
+    for i in range(m - 1):
         j = int(best.argmin())
         a[i], b[i], w[i] = via[j], j, best[j]
         best[j], out[j] = np.inf, False
         nearer = (d[j] < best) & out
         best[nearer] = d[j][nearer]
         via[nearer] = j
-    return core, a, b, w
-
-
-def _pieces(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A label for each of n nodes: the smallest node of its component of the edges."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        while (label != label[label]).any():
-            label = label[label]
-        if (label == before).all():
-            break
-    return label
+    return core, piece, heads[a], heads[b], w
 
 
 def _eighth(x: np.ndarray) -> np.ndarray:
@@ -120,12 +123,10 @@ def _trees(rows: DataFrame, dim: int, min_samples: int, epsilon: float, reach: f
             own = np.flatnonzero(part == p)
             if not len(own):
                 continue
-            core, a, b, w = local_tree(x[own], min_samples)
-            close = w <= epsilon
-            local = _pieces(len(own), a[close], b[close])
+            core, local, a, b, w = local_tree(x[own], min_samples, epsilon)
             # a piece is named by one of its vectors in this cell
             piece = _name(keys[own][local], cell)
-            far = ~close & (w <= reach)
+            far = w <= reach
             count = np.bincount(local, minlength=len(own))[local]
             if first_search:
                 far &= np.maximum(count[a], count[b]) >= min_samples
@@ -467,8 +468,17 @@ def density_clusters(tables: list[DataFrame], dim: int = 64, min_size: int = 5,
     member = materialise(member)
     small = materialise(member.groupBy("node").count().filter(F.col("count") < FEW).select("node"))
     few = materialise(member.join(maybe_broadcast(small), "node").select("key", "node", "core"))
-    searched = [_rows_of(df, dim, i, maybe_broadcast(few)) for i, df in enumerate(tables)]
+    searched = [_rows_of(df, dim, i, maybe_broadcast(few.filter(F.col("key") % 2 == i))) for i, df in enumerate(tables)]
     searched = materialise(searched[0] if len(searched) == 1 else searched[0].unionByName(searched[1]))
+    # a vector within epsilon of the mean of a large piece belongs to it
+    sums = found.filter("kind = 2").select(F.col("x").alias("p"), "total").join(maybe_broadcast(joined.select(F.col("node").alias("p"), "root")), "p", "left").select(F.coalesce("root", "p").alias("node"), "total")
+    sums = materialise(sums.join(maybe_broadcast(small), "node", "left_anti"))
+    close = materialise(_nearest_mean(searched.select("key", "small"), materialise(_means(sums.withColumnRenamed("node", "name"), dim)), dim, epsilon))
+    taken = maybe_broadcast(close)
+    member = materialise(member.join(taken, "key", "left").select("key", "core", F.coalesce("name", "node").alias("node")))
+    searched, all_searched = materialise(searched.join(taken, "key", "left_anti")), searched
+    forget(all_searched)
+    few = searched.select("key", "node", "core")
     again = [p for i in range(len(tables)) if (p := _second_search(searched.filter(F.col("key") % 2 == i), dim, i, min_samples, epsilon, reach, per_second)) is not None]
     edges = found.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b"), "w")
     if again:
@@ -490,11 +500,11 @@ def density_clusters(tables: list[DataFrame], dim: int = 64, min_size: int = 5,
     leaves = leaf.groupBy(F.col("leaf").alias("node")).agg(F.sum("n").alias("n"), F.sum("persist").alias("persist"), F.min("core").alias("core")).filter(F.col("n") >= min_size)
     chosen = hierarchy(leaves, relabel(far, hooked, "w"), reach, contrast)
     labels = leaf.join(chosen.select(F.col("node").alias("leaf"), F.col("cluster").alias("name")), "leaf").select("node", "n", "name")
-    labels = materialise(labels.select("node", "name", (F.col("n") >= min_size).alias("solid"), (F.col("n") >= FEW).alias("large")))
+    large = maybe_broadcast(materialise(sums.select("node", F.lit(True).alias("large")).distinct()))  # pieces of the first search
+    labels = materialise(labels.join(large, "node", "left").select("node", "name", (F.col("n") >= min_size).alias("solid"), F.coalesce("large", F.lit(False)).alias("large")))
     # the mean of a cluster's solid pieces, or of all its vectors if it has none
     loose = labels.groupBy("name").agg(F.max("solid").alias("any")).filter("not any").select("name", F.lit(True).alias("loose"))
     own = materialise(member.join(maybe_broadcast(labels), "node").select("key", "core", "name", "solid", "large"))
-    sums = found.filter("kind = 2").select(F.col("x").alias("p"), "total").join(maybe_broadcast(joined.select(F.col("node").alias("p"), "root")), "p", "left").select(F.coalesce("root", "p").alias("node"), "total")
     sums = sums.join(maybe_broadcast(labels.filter("large").select("node", "name")), "node").select("name", "total")
     in_few = own.filter("not large").join(maybe_broadcast(materialise(loose)), "name", "left").filter("solid or loose").select("key", "name")
     means = materialise(_means(sums.unionByName(_sums(searched.select("key", "small").join(in_few, "key"), dim)), dim))

@@ -258,6 +258,7 @@ def test_clusters_of_any_density_are_found(spark):
     rows = [(i, [v.tolist()], T0, "x", 0) for i, v in enumerate(np.concatenate([m, strays]))]
     found = density.density_clusters([spark.createDataFrame(rows, LOCAL)]).collect()
     got = {r.key // 1000: r.cluster // 1000 for r in found}
+    assert len(got) == len(found)
     assert {i: got.get(i) for i in range(len(m))} == {i: int(label[i]) * 40 for i in range(len(m))}
     assert not [i for i in got if i >= len(m)]
 
