@@ -190,6 +190,47 @@ def test_neighbours_recall(spark, global_table):
     assert neighbours.nearest_neighbours(df.limit(0), D, False, 5, 0.9).count() == 0
 
 
+def found_of(df, vectors, dim, least, **options):
+    """(share of the true pairs found, share of the rows that are true) of the five most similar."""
+    keys, s = similarities(vectors)
+    np.fill_diagonal(s, -1)
+    truth = {(int(k), int(keys[j])) for i, k in enumerate(keys) for j in np.lexsort((keys, -s[i]))[:5] if s[i, j] >= least}
+    got = [(r.key, r.other) for r in neighbours.nearest_neighbours(df, dim, False, 5, least, **options).collect()]
+    assert len(got) == len(set(got))
+    return len(truth & set(got)) / len(truth), len(truth & set(got)) / len(got)
+
+
+def test_neighbours_by_sketches_in_as_many_cells_as_a_large_table_has(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PER_WORD", 8)
+    rng = np.random.default_rng(4)
+    centers = 0.65 + 0.75 * rng.normal(size=(250, 512))
+    m = (np.repeat(centers, 12, axis=0) + 0.3 * rng.normal(size=(3000, 512))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), T0, "") for i, v in enumerate(m)], GLOBAL)
+    vectors = dict(enumerate(m))
+    found, right = found_of(df, vectors, 512, 0.8, sketch=128)
+    assert found > 0.995
+    assert right > 0.995
+
+
+@pytest.mark.parametrize("block", [8192, 7])
+def test_neighbours_by_sketches_equal_brute_force(global_table, monkeypatch, block):
+    monkeypatch.setattr(neighbours, "CROWD", 20)
+    df, vectors = global_table
+    assert found_of(df, vectors, D, 0.9, sketch=64, block=block) == (1, 1)
+    assert neighbours.nearest_neighbours(df.limit(0), D, False, 5, 0.9, sketch=64).count() == 0
+
+
+def test_first_two_of_a_random_order():
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=(90, 3))
+    hit = z @ z.T >= 0.5
+    np.fill_diagonal(hit, (z * z).sum(axis=1) >= 0.5)
+    one, two = neighbours.lowest_two(z, 0.5, 16)
+    for i in range(90):
+        want = [*np.flatnonzero(hit[i]), -1, -1][:2]
+        assert (one[i], two[i]) == tuple(want)
+
+
 def test_scores_by_tables_are_the_products_with_the_sums():
     rng = np.random.default_rng(2)
     x = unit(rng.normal(size=(500, 16))).astype(np.float32)
