@@ -220,6 +220,14 @@ def test_neighbours_by_sketches_equal_brute_force(global_table, monkeypatch, blo
     assert neighbours.nearest_neighbours(df.limit(0), D, False, 5, 0.9, sketch=64).count() == 0
 
 
+def test_lowest_places_in_order():
+    d = np.random.default_rng(6).integers(0, 9, size=(50, 12)).astype(np.float32)
+    want = d.argsort(axis=1, kind="stable")[:, :4]
+    at, value = additive.lowest(d.copy(), 4)
+    assert (at == want).all()
+    assert (value == np.take_along_axis(d, want, axis=1)).all()
+
+
 def test_first_two_of_a_random_order():
     rng = np.random.default_rng(5)
     z = rng.normal(size=(90, 3))
