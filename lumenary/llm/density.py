@@ -36,24 +36,52 @@ from lumenary.vectors import fixed_binary, from_binary, unit
 FEW, REFINE, DEALT, TREE, ONE_TASK, MEANS = 64, 2048, 4096, 6144, 200_000, 20_000
 
 
+def _kth_largest(s: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row of s (from 0); few by repeated maxima, which put back what they took."""
+    if k > 16:
+        return np.partition(s, s.shape[1] - 1 - k, axis=1)[:, s.shape[1] - 1 - k]
+    rows, taken = np.arange(len(s)), []
+    for _ in range(k):
+        at = s.argmax(axis=1)
+        taken.append((at, s[rows, at]))
+        s[rows, at] = -np.inf
+    largest = s.max(axis=1)
+    for at, value in taken:
+        s[rows, at] = value
+    return largest
+
+
+def _pieces(close: np.ndarray) -> np.ndarray:
+    """Each row's connected component of the symmetric relation `close`, named by its smallest row."""
+    piece = np.arange(len(close))
+    new = close.sum(axis=1) > 1  # the others are alone
+    for i in np.flatnonzero(new):
+        if not new[i]:
+            continue
+        new[i] = False
+        held = close[i]
+        edge = np.flatnonzero(held & new)
+        while len(edge):
+            new[edge] = False
+            held = held | close[edge].any(axis=0)
+            edge = np.flatnonzero(held & new)
+        piece[held] = i
+    return piece
+
+
 def local_tree(x: np.ndarray, min_samples: int, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(core distances, pieces, a, b, w) of unit rows: each row's piece (its smallest row) when all mutual reachability distances 1 - cosine up to
     epsilon are contracted, and the edges (between rows of different pieces) of the minimum spanning tree of the pieces (Prim)."""
     n = len(x)
-    d = np.maximum(1 - x @ x.T, 0)
+    d = x @ x.T
     k = min(min_samples - 1, n - 1)
-    core = np.partition(d, k, axis=1)[:, k] if n >= min_samples else np.full(n, 2, d.dtype)
+    core = np.maximum(1 - _kth_largest(d, k), 0) if n >= min_samples else np.full(n, 2, d.dtype)
+    np.subtract(1, d, out=d)
     np.maximum(d, core, out=d)
     np.maximum(d, core[:, None], out=d)
     close = d <= epsilon
     np.fill_diagonal(close, True)
-    piece = np.arange(n)
-    while True:
-        low = np.where(close, piece[None, :], n).min(axis=1)
-        low = np.minimum(low, low[low])
-        if (low == piece).all():
-            break
-        piece = low
+    piece = _pieces(close)
     order = np.argsort(piece, kind="stable")
     heads, starts = np.unique(piece[order], return_index=True)
     m = len(heads)
@@ -61,18 +89,26 @@ def local_tree(x: np.ndarray, min_samples: int, epsilon: float) -> tuple[np.ndar
         none = np.empty(0, np.int64)
         return core, piece, none, none, np.empty(0)
     if m < n:
-        d = np.minimum.reduceat(np.minimum.reduceat(d[np.ix_(order, order)], starts, axis=0), starts, axis=1)
+        several = [(i, order[j:k]) for i, j, k in zip(range(m), starts.tolist(), [*starts[1:].tolist(), n], strict=True) if k - j > 1]
+        rows = d[heads]
+        for i, own in several:
+            rows[i] = d[own].min(axis=0)
+        d = rows[:, heads]
+        for i, own in several:
+            d[:, i] = rows[:, own].min(axis=1)
     best, via, out = d[0].copy(), np.zeros(m, np.int64), np.ones(m, bool)
     out[0] = False
     best[0] = np.inf
-    a, b, w = np.empty(m - 1, np.int64), np.empty(m - 1, np.int64), np.empty(m - 1)
+    a, b, w, nearer = np.empty(m - 1, np.int64), np.empty(m - 1, np.int64), np.empty(m - 1), np.empty(m, bool)
     for i in range(m - 1):
         j = int(best.argmin())
         a[i], b[i], w[i] = via[j], j, best[j]
         best[j], out[j] = np.inf, False
-        nearer = (d[j] < best) & out
-        best[nearer] = d[j][nearer]
-        via[nearer] = j
+        np.less(d[j], best, out=nearer)
+        np.logical_and(nearer, out, out=nearer)
+        at = nearer.nonzero()[0]
+        best[at] = d[j][at]
+        via[at] = j
     return core, piece, heads[a], heads[b], w
 
 
@@ -87,11 +123,13 @@ def _float(small: np.ndarray) -> np.ndarray:
     return x
 
 
-_CELL = "cell long, key long, small binary, first boolean"
+_CELL = "cell long, keys binary, small binary, first binary"
+#: Components of the vectors that are put into rows of _CELL at once.
+PACKED = 1 << 23
 
 
-def _placed(cells: Cells, ids: np.ndarray, x: np.ndarray, small: np.ndarray, field: int) -> pa.RecordBatch:
-    """Rows of _CELL: each vector in each of its cells; what no word splits is dealt to blocks by a hash that differs from cell to cell of a vector."""
+def _placed(cells: Cells, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, whether it is the row's first): each vector's cells; what no word splits is dealt to blocks by a hash that differs from cell to cell of a vector."""
     who, cell, _ = cells.place(x, False)
     order = np.argsort(who, kind="stable")
     who, cell = who[order], cell[order]
@@ -99,49 +137,119 @@ def _placed(cells: Cells, ids: np.ndarray, x: np.ndarray, small: np.ndarray, fie
     turn = np.arange(len(who)) - np.maximum.accumulate(np.where(first, np.arange(len(who)), 0))
     with np.errstate(over="ignore"):
         mixed = (ids[who].view(np.uint64) ^ (turn.astype(np.uint64) << np.uint64(56))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-    part = mixed.astype(np.int64) % cells.blocks(cell)
-    return pa.RecordBatch.from_arrays([pa.array((cell << 20 | part) * 2 + field), pa.array(ids[who]), fixed_binary(small[who]), pa.array(first)], ["cell", "key", "small", "first"])
+    return who, cell << 20 | mixed.astype(np.int64) % cells.blocks(cell), first
+
+
+def _joined(m: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The rows from each of `starts` to the next as one binary."""
+    m = np.ascontiguousarray(m)
+    width = m.itemsize * (m.shape[1] if m.ndim > 1 else 1)
+    offsets = (np.r_[starts, len(m)] * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(m.tobytes())])
+
+
+def _packed(cells: Cells, parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], dim: int, field: int) -> Iterator[pa.RecordBatch]:
+    """Rows of _CELL of parts (keys, unit rows, the same in 8 bits): the vectors of about PACKED components that are in one cell share a row."""
+    most = max(1, PACKED // dim)
+
+    def pack() -> pa.RecordBatch:
+        keys, small, cell, first = (np.concatenate(p) for p in zip(*held, strict=True))
+        order = np.argsort(cell, kind="stable")
+        cell = cell[order]
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        return pa.RecordBatch.from_arrays([pa.array(cell[starts] * 2 + field), _joined(keys[order], starts), _joined(small[order], starts), _joined(first[order], starts)], ["cell", "keys", "small", "first"])
+
+    held, n = [], 0
+    for keys, x, small in parts:
+        who, cell, first = _placed(cells, keys, x)
+        held.append((keys[who], small[who], cell, first))
+        n += len(who)
+        if n >= most:
+            yield pack()
+            held, n = [], 0
+    if n:
+        yield pack()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(cell, keys, small, first) of each cell of rows _CELL in the order of their cells; one cell is held at a time."""
+    held, at = [], None
+    for b in batches:
+        cell = np.asarray(b.column("cell"))
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(cell)], strict=False):
+            if at is not None and cell[i] != at:
+                yield at, *(np.concatenate(p) for p in zip(*held, strict=True))
+                held = []
+            at = int(cell[i])
+            run = b.slice(i, j - i)
+            held.append((_bytes(run.column("keys")).view(np.int64), _bytes(run.column("small")).view(np.int8).reshape(-1, dim), _bytes(run.column("first")).view(bool)))
+    if at is not None:
+        yield at, *(np.concatenate(p) for p in zip(*held, strict=True))
+
+
+def _bytes(col: pa.Array) -> np.ndarray:
+    """The bytes of a binary column one after the other."""
+    offsets = np.frombuffer(col.buffers()[1], np.int32 if pa.types.is_binary(col.type) else np.int64)[col.offset : col.offset + len(col) + 1]
+    return np.frombuffer(col.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+
+
+_TREE = "kind byte, x long, y long, w double, total binary"
 
 
 def _trees(rows: DataFrame, dim: int, min_samples: int, epsilon: float, reach: float, first_search: bool) -> DataFrame:
     """(kind, x, y, w, total) of rows _CELL: kind 0: vector x lies in piece y with core distance w; kind 1: pieces x and y are w apart;
     kind 2 (first search only): the vectors whose first cell this is in piece x of two or more add up to total. The first search
-    leaves edges between two pieces of fewer than `min_samples` to the second, in which both are."""
-
-    def search(t: pa.Table) -> pa.Table:
-        cell = t.column("cell")[0].as_py()
-        keys = t.column("key").to_numpy()
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        first = t.column("first").to_numpy(zero_copy_only=False)[order]
-        x = _float(from_binary(t.column("small"), "i1", dim)[order])
-        parts = -(-len(keys) // TREE)
-        with np.errstate(over="ignore"):
-            part = (keys.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64) % parts
-        kind, left, right, weight, total = [], [], [], [], []
-        for p in range(parts):
-            own = np.flatnonzero(part == p)
-            if not len(own):
-                continue
-            core, local, a, b, w = local_tree(x[own], min_samples, epsilon)
-            # a piece is named by one of its vectors in this cell
-            piece = _name(keys[own][local], cell)
-            far = w <= reach
-            count = np.bincount(local, minlength=len(own))[local]
-            if first_search:
-                far &= np.maximum(count[a], count[b]) >= min_samples
-            summed = first_search & first[own] & (count > 1)
-            which, place = np.unique(piece[summed], return_inverse=True)
-            added = np.zeros((len(which), dim), np.float32)
-            np.add.at(added, place, x[own[summed]])
-            kind += [np.zeros(len(own), np.int8), np.ones(far.sum(), np.int8), np.full(len(which), 2, np.int8)]
-            left += [keys[own], piece[a[far]], which]
-            right += [piece, piece[b[far]], which]
-            weight += [core, w[far], np.zeros(len(which))]
-            total += [None] * (len(own) + far.sum()) + [v.tobytes() for v in added]
-        return pa.table({"kind": np.concatenate(kind), "x": np.concatenate(left), "y": np.concatenate(right), "w": np.concatenate(weight).astype(np.float64), "total": pa.array(total, pa.binary())})
-
-    return rows.groupBy("cell").applyInArrow(search, "kind byte, x long, y long, w double, total binary")
+    leaves edges between two pieces of fewer than `min_samples` to the second, in which both are; total of kind 0 is a vector that may be searched again
+    (its piece in its first cell has under FEW), else null."""
+
+    def out(kind: int, x: np.ndarray, y: np.ndarray, w: np.ndarray, total: pa.Array | None = None) -> pa.RecordBatch:
+        total = pa.nulls(len(x), pa.binary()) if total is None else total
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int8)), pa.array(x), pa.array(y), pa.array(w.astype(np.float64)), total], ["kind", "x", "y", "w", "total"])
+
+    def one(keys: np.ndarray, small: np.ndarray, first: np.ndarray, cell: int) -> Iterator[pa.RecordBatch]:
+        core, local, a, b, w = local_tree(_float(small), min_samples, epsilon)
+        # a piece is named by one of its vectors in this cell
+        piece = _name(keys[local], cell)
+        far = w <= reach
+        if not first_search:
+            yield out(0, keys, piece, core)
+        else:
+            count = np.bincount(local, minlength=len(keys))[local]
+            far &= np.maximum(count[a], count[b]) >= min_samples
+            again = first & (count < FEW)
+            yield out(0, keys[~again], piece[~again], core[~again])
+            if again.any():
+                yield out(0, keys[again], piece[again], core[again], fixed_binary(small[again]))
+            summed = first & (count > 1)
+            if summed.any():
+                which, place = np.unique(piece[summed], return_inverse=True)
+                added = np.zeros((len(which), dim), np.float32)
+                np.add.at(added, place, _float(small[summed]))
+                yield out(2, which, which, np.zeros(len(which)), fixed_binary(added))
+        if far.any():
+            yield out(1, piece[a[far]], piece[b[far]], w[far])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for cell, keys, small, first in _groups(batches, dim):
+            order = np.argsort(keys, kind="stable")
+            keys, small, first = keys[order], small[order], first[order]
+            parts = -(-len(keys) // TREE)
+            with np.errstate(over="ignore"):
+                part = (keys.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64) % parts
+            for p in range(parts):
+                own = np.flatnonzero(part == p)
+                if len(own):
+                    held += one(keys[own], small[own], first[own], cell)
+            n += len(keys)
+            if n >= 1 << 15:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(search, _TREE)
 
 
 def _name(keys: np.ndarray, cell: int) -> np.ndarray:
@@ -158,15 +266,15 @@ def _first_search(df: DataFrame, dim: int, field: int, min_samples: int, epsilon
     if cells is None:
         return None
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for b in batches:
             key, m = keyed(b, dim)
-            for i in range(0, len(key), 8192):
-                x = unit(m[i : i + 8192]).astype(np.float32)
-                yield _placed(cells, key[i : i + 8192] * 2 + field, x, _eighth(x), field)
+            for i in range(0, len(key), 4096):
+                x = unit(m[i : i + 4096]).astype(np.float32)
+                yield key[i : i + 4096] * 2 + field, x, _eighth(x)
 
     cells.aq.books = cells.aq.books[: 2 + len(cells.crowded)]
-    rows = latest_rows(df, "image_id", "computed_at", ["features"]).mapInArrow(encode, _CELL)
+    rows = latest_rows(df, "image_id", "computed_at", ["features"]).mapInArrow(lambda batches: _packed(cells, parts(batches), dim, field), _CELL)
     return _trees(rows, dim, min_samples, epsilon, reach, True)
 
 
@@ -184,28 +292,15 @@ def _second_search(rows: DataFrame, dim: int, field: int, min_samples: int, epsi
     if cells is None:
         return None
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for b in batches:
-            for i in range(0, b.num_rows, 8192):
-                part = b.slice(i, 8192)
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
                 small = from_binary(part.column("small"), "i1", dim)
-                yield _placed(cells, np.asarray(part.column("key")), _float(small), small, field)
+                yield np.asarray(part.column("key")), _float(small), small
 
     cells.aq.books = cells.aq.books[: 2 + len(cells.crowded)]
-    return _trees(rows.select("key", "small").mapInArrow(encode, _CELL), dim, min_samples, epsilon, reach, False)
-
-
-def _rows_of(df: DataFrame, dim: int, field: int, keys: DataFrame) -> DataFrame:
-    """(key, node, core, small) of the vectors of `keys` (key, node, core)."""
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key, m = keyed(b, dim)
-            for i in range(0, len(key), 8192):
-                yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 8192] * 2 + field), fixed_binary(_eighth(unit(m[i : i + 8192]).astype(np.float32)))], ["key", "small"])
-
-    rows = latest_rows(df, "image_id", "computed_at", ["features"]).mapInArrow(take, "key long, small binary")
-    return rows.join(keys.filter(F.col("key") % 2 == field), "key").select("key", "node", "core", "small")
+    return _trees(rows.select("key", "small").mapInArrow(lambda batches: _packed(cells, pieces(batches), dim, field), _CELL), dim, min_samples, epsilon, reach, False)
 
 
 def _means(parts: DataFrame, dim: int) -> DataFrame:
@@ -462,20 +557,20 @@ def density_clusters(tables: list[DataFrame], dim: int = 64, min_size: int = 5,
         return spark.createDataFrame([], "field int, key long, cluster long, core double")
     found = materialise(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
     # the pieces of a vector (one a cell, two at most) are one
-    members = materialise(found.filter("kind = 0").groupBy("x").agg(F.min("y").alias("p"), F.max("y").alias("q"), F.min("w").alias("core")).withColumnRenamed("x", "key"))
+    members = materialise(found.filter("kind = 0").select("x", "y", "w").repartition("x").groupBy("x").agg(F.min("y").alias("p"), F.max("y").alias("q"), F.min("w").alias("core")).withColumnRenamed("x", "key"))
     joined = materialise(components(members.filter("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b"))))
     member = members.join(maybe_broadcast(joined.select(F.col("node").alias("p"), "root")), "p", "left").select("key", "core", F.coalesce("root", "p").alias("node"))
     member = materialise(member)
     small = materialise(member.groupBy("node").count().filter(F.col("count") < FEW).select("node"))
-    few = materialise(member.join(maybe_broadcast(small), "node").select("key", "node", "core"))
-    searched = [_rows_of(df, dim, i, maybe_broadcast(few.filter(F.col("key") % 2 == i))) for i, df in enumerate(tables)]
-    searched = materialise(searched[0] if len(searched) == 1 else searched[0].unionByName(searched[1]))
+    # a vector of a piece of FEW has one in its first cell too, which kept it
+    kept = maybe_broadcast(found.filter("kind = 0 and total is not null").select(F.col("x").alias("key"), F.col("total").alias("small")))
+    searched = materialise(member.join(maybe_broadcast(small), "node").join(kept, "key").select("key", "node", "core", "small"))
     # a vector within epsilon of the mean of a large piece belongs to it
     sums = found.filter("kind = 2").select(F.col("x").alias("p"), "total").join(maybe_broadcast(joined.select(F.col("node").alias("p"), "root")), "p", "left").select(F.coalesce("root", "p").alias("node"), "total")
     sums = materialise(sums.join(maybe_broadcast(small), "node", "left_anti"))
     close = materialise(_nearest_mean(searched.select("key", "small"), materialise(_means(sums.withColumnRenamed("node", "name"), dim)), dim, epsilon))
     taken = maybe_broadcast(close)
-    member = materialise(member.join(taken, "key", "left").select("key", "core", F.coalesce("name", "node").alias("node")))
+    member = member.join(taken, "key", "left").select("key", "core", F.coalesce("name", "node").alias("node"))
     searched, all_searched = materialise(searched.join(taken, "key", "left_anti")), searched
     forget(all_searched)
     few = searched.select("key", "node", "core")
@@ -492,6 +587,8 @@ def density_clusters(tables: list[DataFrame], dim: int = 64, min_size: int = 5,
         member = materialise(member.select("key", F.least("core", F.coalesce("found", "core")).alias("core"), F.coalesce("met", "node").alias("node")))
         joined = materialise(_compose(joined, met).unionByName(heads.select(F.col("piece").alias("node"), "root").join(met.select(F.col("node").alias("root"), F.col("root").alias("met")), "root", "left").select("node", F.coalesce("met", "root").alias("root"))))
         edges = edges.unionByName(second.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b"), "w"))
+    else:
+        member = materialise(member)
     far = materialise(relabel(edges, joined, "w"))
     inverse = 1 / F.greatest("core", F.lit(0.01))
     nodes = materialise(member.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(inverse).alias("persist"), F.min(F.greatest("core", F.lit(0.01))).alias("core")))
@@ -521,7 +618,7 @@ def density_clusters(tables: list[DataFrame], dim: int = 64, min_size: int = 5,
     out = materialise(out.select("key", "core", F.coalesce("into", "name").alias("name")))
     # a vector that joined late may have the smallest key of its cluster
     named = out.groupBy("name").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_size)
-    out = materialise(out.join(maybe_broadcast(materialise(named)), "name").select((F.col("key") % 2).cast("int").alias("field"), F.expr("key div 2").alias("key"), F.expr("least div 2").alias("cluster"), "core"))
+    out = out.join(maybe_broadcast(materialise(named)), "name").select((F.col("key") % 2).cast("int").alias("field"), F.expr("key div 2").alias("key"), F.expr("least div 2").alias("cluster"), "core")
     for used in (found, searched, left, member, members):
         forget(used)
     return out

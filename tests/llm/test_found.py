@@ -331,6 +331,54 @@ def test_the_hierarchy_in_rounds_equals_that_of_one_task(spark, shape):
         assert {frozenset(k for k in got if got[k] == v) for v in got.values()} == {frozenset(k for k in want if want[k] == v) for v in want.values()}
 
 
+def test_vectors_of_a_cell_travel_in_one_row(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(14)
+    x = unit(np.abs(rng.normal(size=(3000, 64)))).astype(np.float32)
+    cells = additive.Cells(additive.AdditiveQuantiser.fit(x.copy(), 20), x, 3000.0, 500, 100, deeper=1)
+    keys, small = np.arange(3000) * 7 - 900, density._eighth(x)
+    who, cell, first = density._placed(cells, keys, x)
+    assert len(who) == 6000 and (cells.parts > 1).any()
+    for packed, batches in ((1 << 23, 1), (1000 * 64, 6)):
+        monkeypatch.setattr(density, "PACKED", packed)
+        got = list(density._packed(cells, ((keys[i : i + 500], x[i : i + 500], small[i : i + 500]) for i in range(0, 3000, 500)), 64, 1))
+        assert len(got) == batches
+        assert all(len(b.column("cell").unique()) == b.num_rows for b in got)
+        # a cell may come in several rows and be cut between batches
+        rows = pa.Table.from_batches(got).sort_by("cell").combine_chunks().to_batches()[0]
+        groups = list(density._groups((rows.slice(i, 7) for i in range(0, rows.num_rows, 7)), 64))
+        assert [g[0] for g in groups] == (np.unique(cell) * 2 + 1).tolist()
+        seen = sorted((c, k, s.tobytes(), f) for c, ks, ss, fs in groups for k, s, f in zip(ks.tolist(), ss, fs.tolist(), strict=True))
+        assert seen == sorted((c * 2 + 1, k, s.tobytes(), f) for c, k, s, f in zip(cell.tolist(), keys[who].tolist(), small[who], first.tolist(), strict=True))
+    assert not list(density._packed(cells, iter([]), 64, 1)) and not list(density._groups(iter([]), 64))
+
+
+@pytest.mark.parametrize(("n", "samples"), [(1, 4), (3, 4), (4, 4), (150, 4), (150, 1), (150, 20)])
+def test_a_local_tree_equals_brute_force(n, samples):
+    rng = np.random.default_rng(n)
+    x = unit(around(rng, unit(rng.normal(size=(6, 64))), -(-n // 6), 0.9)[:n]).astype(np.float32)
+    x[n // 2 :: 3] = unit(rng.normal(size=(len(x[n // 2 :: 3]), 64)))
+    core, piece, a, b, w = density.local_tree(x, samples, 0.22)
+    d = np.maximum(1 - x @ x.T, 0)
+    want = np.sort(d, axis=1)[:, samples - 1] if n >= samples else np.full(n, 2)
+    assert np.allclose(core, want, atol=1e-6)
+    d = np.maximum(np.maximum(d, core), core[:, None])
+    edges = sorted((float(d[i, j]), i, j) for i in range(n) for j in range(i))
+    top = list(range(n))
+    lengths, pieces = [], None
+    for length, i, j in edges:
+        if length > 0.22 and pieces is None:
+            pieces = list(top)
+        if top[i] != top[j]:
+            low, high = sorted((top[i], top[j]))
+            top = [low if t == high else t for t in top]
+            lengths += [length] if length > 0.22 else []
+    assert piece.tolist() == (pieces or top)
+    assert np.allclose(sorted(w), lengths, atol=1e-6)
+    assert all(piece[i] != piece[j] and abs(d[np.ix_(piece == piece[i], piece == piece[j])].min() - v) < 1e-6 for i, j, v in zip(a, b, w, strict=True))
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(200, 200), (201, 202), (202, 201)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
